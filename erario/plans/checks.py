@@ -12,7 +12,7 @@ from erario.functions.identity import row_hash
 from erario.functions.months import format_month
 from erario.operators.aggregate import ROWS, total
 from erario.operators.compare import multiset_difference
-from erario.operators.quality import multiplicity, wide_profile
+from erario.operators.quality import wide_profile
 from erario.schema import BI_COLUMNS, BI_MEASURES, LINE_ID, MONEY_COLUMNS, TEXT_COLUMNS, TOTAL_TYPE
 
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from erario.functions import months as M
 from erario.operators import timeline
 from erario.operators.aggregate import (
-    cube_totals, grand_total, grouped_totals, month_matrix, ranking, rollup_totals, rows, total,
+    cube_totals, grouped_totals, month_matrix, ranking, rollup_totals, rows, total,
 )
 from erario.operators.context import Context, apply_context
 from erario.plans.model import with_labels
-from erario.schema import ACTION, BI_MEASURES, FUNCTION, GROUP, ORGAN, PROGRAM
+from erario.schema import ACTION, BI_MEASURES, FUNCTION, GROUP, ORGAN, PROGRAM, TOTAL_TYPE
 
 ALL = Context()
 HIERARCHY = ["Orgao", "Funcao", "Programa", "Acao"]
@@ -98,8 +98,16 @@ SHORT_DETAIL = [
 
 
 def record_detail(bi, columns=DETAIL, context=ALL) -> DataFrame:
-    """Records with their four measures and one total row."""
-    return grand_total(apply_context(bi, context), columns)
+    """Records with their four measures and one total row.
+
+    `id_registro` is unique, so records need no grouping and no shuffle.
+    """
+    df = apply_context(bi, context)
+    overall = df.agg(*[total(m) for m in BI_MEASURES]).withColumn("total", F.lit(1))
+    records = df.select(
+        *columns, *[F.col(m).cast(TOTAL_TYPE).alias(m) for m in BI_MEASURES], F.lit(0).alias("total")
+    )
+    return records.unionByName(overall, allowMissingColumns=True)
 
 
 def slicer_values(bi, context=ALL) -> DataFrame:

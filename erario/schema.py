@@ -130,5 +130,7 @@ LEDGER_SCHEMA = T.StructType(
         T.StructField("registros", T.LongType()),
         T.StructField("carregado_em", T.TimestampType()),
         T.StructField("versao", T.StringType()),
+        T.StructField("carga", T.StringType()),
+        T.StructField("geracao", T.IntegerType()),
     ]
 )
