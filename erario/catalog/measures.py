@@ -8,7 +8,7 @@ from erario.functions import money
 from erario.functions import months as M
 from erario.functions.months import MONTH_NAMES
 from erario.operators import timeline
-from erario.operators.aggregate import grand_total, month_matrix, rows, total
+from erario.operators.aggregate import grand_total, grouped_totals, month_matrix, total
 from erario.operators.context import Context
 from erario.plans import model, report
 from erario.schema import BI_MEASURES
@@ -141,8 +141,13 @@ def event_calendar(spark, d):
 )
 def calendar_join(spark, d):
     fact = X.fact(spark, d)
-    joined = timeline.join_calendar(fact, timeline.calendar(fact))
-    return joined.groupBy("Ano", "NomeMes").agg(rows(), *[total(m) for m in BI_MEASURES])
+    # Calendar attributes depend on the month only: the join sees monthly totals.
+    monthly = grouped_totals(fact, ["periodo"])
+    joined = timeline.join_calendar(monthly, timeline.calendar(monthly))
+    return joined.groupBy("Ano", "NomeMes").agg(
+        F.sum("quantidade_registros").cast("bigint").alias("quantidade_registros"),
+        *[total(m) for m in BI_MEASURES],
+    )
 
 
 # Observed orders' months, with one month of every year removed, give gaps to all measures.
@@ -268,7 +273,7 @@ def _title_sql(day):
 )
 def period_subtitle(spark, d):
     fact = X.fact(spark, d)
-    # One pass finds the fact's months; every selection is made on those.
+    # The selections only need the fact's first and last month.
     months = fact.agg(F.min("periodo").alias("a"), F.max("periodo").alias("b")).select(
         F.explode(F.array("a", "b")).alias("periodo")
     )
