@@ -1,6 +1,7 @@
 """Filter context: slicers, cross-filtering and its modifiers."""
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ def _any_of(column: str, values) -> Column:
     return F.col(column).isin(*values)
 
 
-def apply_context(df: DataFrame, context: Context = Context()) -> DataFrame:
+def selected(context: Context = Context()) -> Column:
+    """Condition that a fact row is in the context."""
     selections = [
         ("periodo", context.months),
         ("nome_orgao_superior", context.organs),
@@ -41,18 +43,15 @@ def apply_context(df: DataFrame, context: Context = Context()) -> DataFrame:
         ("nome_grupo_despesa", context.groups),
         *context.clicked,
     ]
-    for column, values in selections:
-        if values is not None:
-            df = df.filter(_any_of(column, values))
-    return df
-
-
-def month_selected(context: Context, column: str = "periodo") -> Column:
-    """Condition on a calendar month: in the slicer and in any clicked months."""
-    selected = F.lit(True)
-    if context.months is not None:
-        selected = _any_of("periodo", context.months)
-    for name, values in context.clicked:
-        if name == "periodo":
-            selected = selected & _any_of("periodo", values)
-    return selected
+    chosen = [_any_of(column, values) for column, values in selections if values is not None]
+    return reduce(Column.__and__, chosen, F.lit(True))
+
+
+def apply_context(df: DataFrame, context: Context = Context()) -> DataFrame:
+    return df.filter(selected(context))
+
+
+def month_selected(context: Context) -> Column:
+    """Condition that a calendar month is in the slicer and in any clicked months."""
+    clicked = tuple(c for c in context.clicked if c[0] == "periodo")
+    return selected(Context(months=context.months, clicked=clicked))

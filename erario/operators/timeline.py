@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from erario.functions import months as M
 from erario.functions.money import safe_ratio
 from erario.operators.aggregate import total
-from erario.operators.context import Context, apply_context, month_selected
+from erario.operators.context import Context, month_selected, selected
 from erario.schema import TOTAL_TYPE
 
 
@@ -47,11 +47,23 @@ def calendar_months(df: DataFrame, context: Context = Context(), months=None) ->
     return spine.filter(month_selected(context))
 
 
-def monthly(df, keys=(), measure="valor_pago") -> DataFrame:
-    return df.groupBy(*keys, "periodo").agg(total(measure, "valor"))
+def _monthly(df, keys, context, measure) -> tuple[DataFrame, Column]:
+    """Monthly totals of the rows in context, and the calendar's last month.
+
+    The calendar spans the whole fact, so rows out of context are kept in the
+    aggregation, without a value. Reading `valor` and `_n` along with the last
+    month makes both results use one shuffled aggregate: the fact is read once.
+    """
+    inside = selected(context)
+    everything = df.groupBy(*keys, "periodo").agg(
+        F.sum(F.when(inside, F.col(measure))).cast(TOTAL_TYPE).alias("valor"),
+        F.count_if(inside).alias("_n"),
+    )
+    last = everything.agg(F.max(F.struct("periodo", "valor", "_n"))["periodo"]).scalar()
+    return everything.filter("_n > 0").drop("_n"), last
 
 
-def with_previous_month(df, keys=(), context=Context(), measure="valor_pago", months=None) -> DataFrame:
+def with_previous_month(df, keys=(), context=Context(), measure="valor_pago") -> DataFrame:
     """Current and previous-month value per key and selected month.
 
     A cell exists when either month has rows: each monthly total is emitted for
@@ -59,7 +71,7 @@ def with_previous_month(df, keys=(), context=Context(), measure="valor_pago", mo
     ignores the month selection; the cell itself has to be a selected calendar
     month.
     """
-    totals = monthly(apply_context(df, context.without_months()), keys, measure)
+    totals, last = _monthly(df, keys, context.without_months(), measure)
     none = F.lit(None).cast(TOTAL_TYPE)
     cells = totals.select(
         *keys,
@@ -76,7 +88,6 @@ def with_previous_month(df, keys=(), context=Context(), measure="valor_pago", mo
             )
         ),
     )
-    last = _months_of(df, months).agg(F.max("periodo")).scalar()
     return (
         cells.filter(month_selected(context) & (F.col("periodo") <= last))
         .groupBy(*keys, "periodo")
@@ -89,11 +100,11 @@ def variation(current: Column, previous: Column) -> Column:
     return (current - previous).cast(TOTAL_TYPE)
 
 
-def with_variation(df, keys=(), context=Context(), measure="valor_pago", months=None) -> DataFrame:
+def with_variation(df, keys=(), context=Context(), measure="valor_pago") -> DataFrame:
     """Current, previous, difference and relative difference per key and month."""
     current, previous = F.col("atual"), F.col("anterior")
     difference = variation(current, previous)
-    return with_previous_month(df, keys, context, measure, months).select(
+    return with_previous_month(df, keys, context, measure).select(
         *keys,
         "periodo",
         "atual",
@@ -106,17 +117,16 @@ def with_variation(df, keys=(), context=Context(), measure="valor_pago", months=
 def last_month_variation(df, keys=(), context=Context(), measure="valor_pago", months=None) -> DataFrame:
     """`with_variation` at the last selected calendar month, as a card shows it."""
     last = calendar_months(df, context, months).agg(F.max("periodo")).scalar()
-    return with_variation(df, keys, context, measure, months).filter(F.col("periodo") == last)
+    return with_variation(df, keys, context, measure).filter(F.col("periodo") == last)
 
 
-def running_total(df, keys=(), context=Context(), measure="valor_pago", months=None) -> DataFrame:
+def running_total(df, keys=(), context=Context(), measure="valor_pago") -> DataFrame:
     """Total accumulated over the selected months, up to each selected month.
 
     A month without rows repeats the total reached before it. Months before the
     first one with rows have no total.
     """
-    totals = monthly(apply_context(df, context), keys, measure)
-    last = _months_of(df, months).agg(F.max("periodo")).scalar()
+    totals, last = _monthly(df, keys, context, measure)
     spine = (
         totals.groupBy(*keys)
         .agg(F.min("periodo").alias("_a"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from erario.functions.money import br_decimal, label
 from erario.functions.months import parse_month
-from erario.operators.aggregate import grouped_totals
+from erario.operators.aggregate import ROWS, grouped_totals, total
 from erario.schema import (
     ACTION, BI_COLUMNS, BI_MEASURES, DEBT_LABEL, DEBT_PROGRAMS, FLAG, LINE_ID,
     MONEY_COLUMNS, MONTH_TEXT, ORGAN, OTHER_LABEL, PROGRAM,
@@ -50,7 +50,14 @@ def aggregate_view(bi: DataFrame, name: str) -> DataFrame:
 
 
 def aggregate_views(bi: DataFrame) -> dict[str, DataFrame]:
-    return {name: aggregate_view(bi, name) for name in VIEW_KEYS}
+    """All views from one pass: they re-sum the totals at their finest common grain."""
+    leaf = grouped_totals(bi, ["periodo", *ORGAN, *PROGRAM, *ACTION, FLAG])
+    return {
+        name: leaf.groupBy("periodo", *keys)
+        .agg(F.sum(ROWS).cast("bigint").alias(ROWS), *[total(m) for m in BI_MEASURES])
+        .orderBy("periodo", *keys)
+        for name, keys in VIEW_KEYS.items()
+    }
 
 
 def with_labels(bi: DataFrame) -> DataFrame:
