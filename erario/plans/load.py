@@ -107,15 +107,16 @@ def append_plan(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
 # --- writing a run ------------------------------------------------------------------
 
 def record_problems(records: DataFrame, wrong_month) -> DataFrame:
-    """Records a load refuses: shape, month or money text."""
+    """Records a load refuses: shape, line number, month or money text."""
     money = [
-        F.when(money_problem(F.col(f"`{c}`")).isNotNull(), F.concat(F.lit(f"{c}: "), money_problem(F.col(f"`{c}`"))))
+        F.concat(F.lit(f"{c}: "), money_problem(F.col(f"`{c}`")))  # NULL when there is none
         for c in MONEY_COLUMNS
     ]
     month = F.col(f"`{MONTH_TEXT}`")
     reason = F.coalesce(
         F.col("problema"),
         F.when(~is_month_text(month) | wrong_month, F.concat(F.lit("período divergente: "), month)),
+        F.when(F.col(LINE_ID) % ID_BLOCK == 0, F.lit("mês excede o espaço de identificadores")),
         *money,
     )
     return records.select("arquivo", LINE_ID, reason.alias("motivo")).filter("motivo IS NOT NULL")
@@ -129,36 +130,34 @@ def _refuse(violations: DataFrame, message: str) -> None:
 
 
 def _write_run(store: Store, listing, member, expected_month, offset: bool, source: str):
-    """Write the staged and typed rows of some archives; returns the unpublished run."""
+    """Write the staged and typed rows of some archives; returns the unpublished run.
+
+    The archives are parsed once, into the staging folder of the run; what is
+    wrong with a record travels along and is refused before anything is typed.
+    """
     spark, run = store.spark, uuid.uuid4().hex
     paths = [r.caminho for r in listing]
     cut = archive.spread(archive.blocks(spark, paths, member), len(paths))
-    raw = f"{store.root}/_pending/{run}"
-    # Parsed once, then only Parquet is read.
-    archive.records(cut).write.parquet(raw)
-    parsed = spark.read.schema(archive.RECORD_SCHEMA).parquet(raw)
-    _refuse(
-        record_problems(parsed, F.col(f"`{MONTH_TEXT}`") != expected_month),
-        "Registros recusados",
-    )
-    month = parse_month(F.col(f"`{MONTH_TEXT}`"))
+    text = F.col(f"`{MONTH_TEXT}`")
+    month = F.when(is_month_text(text), parse_month(text))
+    parsed = archive.records(cut).withColumn("periodo", month)
     if offset:
-        _refuse(
-            parsed.groupBy("arquivo").agg(F.max(LINE_ID).alias("linhas")).filter(F.col("linhas") >= ID_BLOCK),
-            "Mês excede o espaço reservado para identificadores",
-        )
-        parsed = parsed.withColumn(LINE_ID, global_id(F.col(LINE_ID), month))
-    staged = parsed.select(*STAGING_SCHEMA.names, month.alias("periodo"))
-    staged.write.partitionBy("periodo").parquet(f"{store.root}/staging_despesas/carga={run}")
-    staged = spark.read.parquet(f"{store.root}/staging_despesas/carga={run}")
-    model.typed(staged.drop("periodo")).write.partitionBy("periodo").parquet(
+        # Lines beyond the month's block keep a recognisable id and are refused.
+        line = F.when(F.col(LINE_ID) < ID_BLOCK, F.col(LINE_ID)).otherwise(0)
+        parsed = parsed.withColumn(LINE_ID, F.coalesce(global_id(line, F.col("periodo")), line))
+    folder = f"{store.root}/staging_despesas/carga={run}"
+    parsed.write.partitionBy("periodo").parquet(folder)
+    schema = T.StructType([*archive.RECORD_SCHEMA, T.StructField("periodo", T.DateType())])
+    staged = spark.read.schema(schema).parquet(folder)
+    _refuse(record_problems(staged, text != expected_month), "Registros recusados")
+    model.typed(staged.select(*STAGING_SCHEMA.names)).write.partitionBy("periodo").parquet(
         f"{store.root}/despesas/carga={run}"
     )
     typed = spark.read.parquet(f"{store.root}/despesas/carga={run}")
     hashes = spark.createDataFrame(
         [(r.arquivo, r.sha256, r.periodo) for r in listing], "arquivo string, sha256 string, periodo string"
     )
-    members = parsed.groupBy("arquivo").agg(
+    members = staged.groupBy("arquivo").agg(
         F.max("membro").alias("membro"), F.count(F.lit(1)).alias("registros")
     )
     entries = hashes.join(members, "arquivo").select(
