@@ -4,8 +4,6 @@ A check without violations says little, so most checks run against a table with
 a planted fault; `r00_all_checks` runs every check on the unharmed tables.
 """
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -423,8 +421,7 @@ def all_checks(spark, d):
         "reconciliation": checks.reconciliation(bi, views).filter("diferenca <> 0"),
         "interval": checks.interval(typed, bi),
     }
-    counted = [
-        df.agg(rows("violacoes")).select(F.lit(name).alias("verificacao"), "violacoes")
-        for name, df in found.items()
-    ]
-    return reduce(DataFrame.unionByName, counted)
+    names = F.array(*[F.lit(n) for n in found])
+    counted = checks.violations(found).groupBy("verificacao").agg(rows("violacoes"))
+    listed = spark.range(1).select(F.explode(names).alias("verificacao"))
+    return listed.join(counted, "verificacao", "left").na.fill(0)

@@ -20,11 +20,27 @@ class CheckFailed(ValueError):
     """A reconciliation check found violations."""
 
 
-def gate(violations: DataFrame, message: str) -> None:
-    """Fail when a check has violations; the message carries a few examples."""
-    found = violations.take(5)
+def violations(checks: dict[str, DataFrame]) -> DataFrame:
+    """Violations of several checks as verificacao, violacao (JSON).
+
+    One job runs them all, so scans and aggregates they share are done once.
+    """
+    return _union(
+        [
+            df.select(
+                F.lit(name).alias("verificacao"),
+                F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("violacao"),
+            )
+            for name, df in checks.items()
+        ]
+    )
+
+
+def gate(checks: dict[str, DataFrame]) -> None:
+    """Fail when any check has violations; the message carries a few examples."""
+    found = violations(checks).take(5)
     if found:
-        raise CheckFailed(f"{message}: {[r.asDict(recursive=True) for r in found]}")
+        raise CheckFailed("; ".join(f"{r.verificacao}: {r.violacao}" for r in found))
 
 
 def _union(frames):

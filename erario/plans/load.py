@@ -122,9 +122,9 @@ def record_problems(records: DataFrame, wrong_month) -> DataFrame:
     return records.select("arquivo", LINE_ID, reason.alias("motivo")).filter("motivo IS NOT NULL")
 
 
-def _refuse(violations: DataFrame, message: str) -> None:
+def _refuse(found: dict[str, DataFrame]) -> None:
     try:
-        checks.gate(violations, message)
+        checks.gate(found)
     except checks.CheckFailed as failed:
         raise LoadError(str(failed)) from None
 
@@ -149,7 +149,7 @@ def _write_run(store: Store, listing, member, expected_month, offset: bool, sour
     parsed.write.partitionBy("periodo").parquet(folder)
     schema = T.StructType([*archive.RECORD_SCHEMA, T.StructField("periodo", T.DateType())])
     staged = spark.read.schema(schema).parquet(folder)
-    _refuse(record_problems(staged, text != expected_month), "Registros recusados")
+    _refuse({"Registros recusados": record_problems(staged, text != expected_month)})
     model.typed(staged.select(*STAGING_SCHEMA.names)).write.partitionBy("periodo").parquet(
         f"{store.root}/despesas/carga={run}"
     )
@@ -173,7 +173,8 @@ def _write_run(store: Store, listing, member, expected_month, offset: bool, sour
 def source_audit(block_df: DataFrame, hashes: DataFrame) -> DataFrame:
     """Independent audit with month and hash: periodo, sha256, medida and the counts."""
     audited = archive.audit(block_df)
-    _refuse(audited.filter("problema IS NOT NULL").select("arquivo", "problema"), "Auditoria da origem")
+    refused = audited.filter("problema IS NOT NULL").select("arquivo", "problema")
+    _refuse({"Auditoria da origem": refused})
     return audited.join(hashes, "arquivo").select(
         "periodo", "sha256", "medida", "registros", "soma", "negativos", "vazios"
     )
@@ -181,11 +182,16 @@ def source_audit(block_df: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def _check_run(store, staged, typed, entries, cut, listing) -> None:
     """The checks of a single run: counts, sums against the source, text, unchanged files."""
-    _refuse(checks.cardinality(staged, typed), "Contagens divergentes")
-    _refuse(checks.text_changes(staged, typed), "Dimensões textuais foram alteradas")
     hashes = entries.select("arquivo", "periodo", "sha256")
-    audited = source_audit(cut, hashes)
-    _refuse(checks.audit_against_table(audited, entries, typed), "Reconciliação com a origem falhou")
+    _refuse(
+        {
+            "Contagens divergentes": checks.cardinality(staged, typed),
+            "Dimensões textuais foram alteradas": checks.text_changes(staged, typed),
+            "Reconciliação com a origem falhou": checks.audit_against_table(
+                source_audit(cut, hashes), entries, typed
+            ),
+        }
+    )
     _unchanged(store, listing)
 
 
@@ -224,14 +230,15 @@ def load_month(store: Store, path: str, period: str = "2026/01", member=None, so
         raise LoadError("Tabela incremental: substituição integral bloqueada.")
     listing = [T.Row(**{**r.asDict(), "periodo": period}) for r in _listing(store.spark, [path])]
     _, staged, typed, entries, cut = _write_run(store, listing, member, F.lit(period), False, source)
-    _refuse(checks.cardinality(staged, typed), "Contagens divergentes")
-    _refuse(checks.text_changes(staged, typed), "Dimensões textuais foram alteradas")
-    per_file = archive.records(cut).filter("problema IS NULL")
+    reread = model.typed(archive.records(cut).filter("problema IS NULL").select(*SOURCE_COLUMNS))
     _refuse(
-        checks.source_sums(
-            wide_profile(model.typed(per_file.select(*SOURCE_COLUMNS)), MONEY_COLUMNS), typed
-        ),
-        "Reconciliação monetária falhou",
+        {
+            "Contagens divergentes": checks.cardinality(staged, typed),
+            "Dimensões textuais foram alteradas": checks.text_changes(staged, typed),
+            "Reconciliação monetária falhou": checks.source_sums(
+                wide_profile(reread, MONEY_COLUMNS), typed
+            ),
+        }
     )
     _unchanged(store, listing)
     _publish(store, entries, _generation(store) + 1)
@@ -298,8 +305,13 @@ def bootstrap(seed: Store, store: Store, expected: dict) -> None:
             rows.write.partitionBy("periodo").parquet(f"{store.root}/{name}/carga={run}")
         _publish(store, seed.ledger().withColumn("carga", F.lit(run)).drop("geracao"), 1)
     month = F.col(f"`{MONTH_TEXT}`") == expected["periodo"]
-    for mine, theirs in ((store.despesas(), seed.despesas()), (store.staging(), seed.staging())):
-        _refuse(checks.snapshot(mine.filter(month), theirs.filter(month)), "Células do mês inicial divergem")
+    pairs = {"tabela": (store.despesas(), seed.despesas()), "staging": (store.staging(), seed.staging())}
+    _refuse(
+        {
+            f"Células do mês inicial divergem ({name})": checks.snapshot(mine.filter(month), theirs.filter(month))
+            for name, (mine, theirs) in pairs.items()
+        }
+    )
     if not store.is_incremental():
         store.spark.range(1).select(F.lit(1).alias("version")).coalesce(1).write.mode("append").parquet(
             f"{store.root}/control"
@@ -343,7 +355,7 @@ def rebuild(spark, raw: str, root: str, start: str, end: str) -> Store:
         stores.append(Store(spark, f"{base}/consolidado"))
         load_range(stores[-1], Store(spark, f"{base}/inicial"), raw, start, end)
     left, right = (logical_profile(s.bi(), BI_MEASURES) for s in stores)
-    _refuse(profile_difference(left, right), "Reconstruções divergentes")
+    _refuse({"Reconstruções divergentes": profile_difference(left, right)})
     return stores[0]
 
 
@@ -353,16 +365,20 @@ def validate(staging: DataFrame, despesas: DataFrame, ledger: DataFrame) -> Data
     """Every reconciliation of a table; returns the difference report, all zero."""
     bi = model.bi_projection(despesas)
     views = model.aggregate_views(bi)
-    _refuse(checks.projection_ids(despesas, bi), "Contagem/identidade inválida")
-    _refuse(checks.projection_measures(despesas, bi), "Somas, nulos ou negativos divergem da origem")
-    _refuse(checks.view_totals(bi, views), "Agregação não reconciliada")
-    _refuse(checks.view_months(bi, views), "Reconciliação mensal falhou")
-    _refuse(checks.ledger_rows(ledger, despesas), "Metadados não correspondem às linhas carregadas")
-    _refuse(checks.cardinality(staging, despesas), "Cardinalidade de staging diverge")
     if broken := checks.type_contract(bi):
         raise LoadError(f"Contrato de tipos: {broken}")
     differences = checks.reconciliation(bi, views)
-    _refuse(differences.filter("diferenca <> 0"), "Soma dos meses ou visão não corresponde ao total")
+    _refuse(
+        {
+            "Contagem/identidade inválida": checks.projection_ids(despesas, bi),
+            "Somas, nulos ou negativos divergem da origem": checks.projection_measures(despesas, bi),
+            "Agregação não reconciliada": checks.view_totals(bi, views),
+            "Reconciliação mensal falhou": checks.view_months(bi, views),
+            "Metadados não correspondem às linhas carregadas": checks.ledger_rows(ledger, despesas),
+            "Cardinalidade de staging diverge": checks.cardinality(staging, despesas),
+            "Soma dos meses ou visão não corresponde ao total": differences.filter("diferenca <> 0"),
+        }
+    )
     return differences
 
 
@@ -388,15 +404,17 @@ def export(store: Store, output: str, start: str, end: str) -> DataFrame:
     """Write every view and the reports of an interval to a new folder; returns its manifest."""
     spark = store.spark
     wanted = months.month_range(spark, start, end)
-    _refuse(checks.interval(store.despesas(), wanted), "Períodos da tabela diferem do intervalo")
+    _refuse({"Períodos da tabela diferem do intervalo": checks.interval(store.despesas(), wanted)})
     despesas = store.despesas()
     differences = validate(store.staging(), despesas, store.ledger())
     bi = model.bi_projection(despesas)
     tables = {"despesas_bi": bi, **model.aggregate_views(bi)}
+    written = {}
     for name, df in tables.items():
         path = f"{output}/{name}"
         write_csv(df, path, order_by=["id_registro"] if name == "despesas_bi" else ())
-        _refuse(round_trip_differences(df, path), f"CSV diverge do resultado: {name}")
+        written[f"CSV diverge do resultado: {name}"] = round_trip_differences(df, path)
+    _refuse(written)
     bounds = (f"{start[:4]}-{start[4:]}-01", f"{end[:4]}-{end[4:]}-01")
     reports = {
         "reconciliacao": differences,
@@ -446,13 +464,13 @@ def publish(spark, source: str, target: str) -> str:
     """
     listed = spark.read.json(f"{source}/manifesto").select("arquivo", "sha256")
     present = manifest(spark, source).select("arquivo", "sha256")
-    _refuse(multiset_difference(listed, present), "Arquivo alterado após validação")
+    _refuse({"Arquivo alterado após validação": multiset_difference(listed, present)})
     differences = spark.read.schema(
         "comparacao string, medida string, total decimal(38,2), diferenca decimal(38,2)"
     ).json(f"{source}/validacao/reconciliacao")
     if not differences.take(1):
         raise LoadError("Reconciliação ausente; saída principal preservada.")
-    _refuse(differences.filter("diferenca <> 0"), "Reconciliação inválida")
+    _refuse({"Reconciliação inválida": differences.filter("diferenca <> 0")})
     content = listed.filter("arquivo LIKE 'despesas_%'").select(
         F.substring_index("arquivo", "/", 1).alias("tabela"), "sha256"
     )
