@@ -21,13 +21,13 @@ def plain_digits(text: Column) -> Column:
 
 
 def br_decimal(text: Column) -> Column:
-    """DECIMAL(20,2) from Brazilian text: blank is NULL, anything malformed fails the query.
+    """DECIMAL(20,2) from Brazilian text: blank or absent is NULL, anything malformed fails the query.
 
     Values of 10^18 and above do not fit and fail too (ANSI cast).
     """
     trimmed = F.trim(text)
     return (
-        F.when(trimmed == "", F.lit(None).cast(MONEY_TYPE))
+        F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(None).cast(MONEY_TYPE))
         .when(trimmed.rlike(MONEY_PATTERN), plain_digits(text).cast(MONEY_TYPE))
         .otherwise(
             F.raise_error(

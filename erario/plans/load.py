@@ -212,13 +212,19 @@ def _generation(store: Store) -> int:
 
 
 def _listing(spark, paths) -> list:
-    """Fingerprint and month (from the file name) of each archive: one row per month."""
+    """Fingerprint and month (from the file name) of each archive: one row per month.
+
+    Spark's file sources leave out files of zero bytes, so the count is checked.
+    """
     name = F.col("arquivo")
-    return (
+    listing = (
         archive.fingerprints(spark, paths)
         .withColumn("periodo", F.concat(F.substring(name, 1, 4), F.lit("/"), F.substring(name, 5, 2)))
         .collect()
     )
+    if len(listing) != len(paths):
+        raise LoadError(f"Arquivo vazio entre {sorted(paths)}.")
+    return listing
 
 
 # --- loads --------------------------------------------------------------------------

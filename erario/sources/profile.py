@@ -81,7 +81,10 @@ PROFILE_SCHEMA = (
 
 
 def profile_files(spark: SparkSession, paths, member=None, encoding=None, delimiter=None) -> DataFrame:
-    """One row per file; `problema` says why a file could not be profiled."""
+    """One row per file; `problema` says why a file could not be profiled.
+
+    Files of zero bytes have no row: Spark's file sources leave them out.
+    """
     fields = [f.split()[0] for f in PROFILE_SCHEMA.split(", ")]
 
     def profile(frames):

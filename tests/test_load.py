@@ -95,6 +95,12 @@ def test_member_choice(spark, tmp_path):
     assert load.load_month(table, str(path), member="a.csv")["registros"] == 1
 
 
+def test_empty_file_is_refused(spark, tmp_path):
+    (tmp_path / "202601_Despesas.zip").write_bytes(b"")
+    with pytest.raises(load.LoadError, match="vazio"):
+        load.load_month(store(spark, tmp_path / "t"), str(tmp_path / "202601_Despesas.zip"))
+
+
 @pytest.fixture
 def raw(tmp_path):
     folder = tmp_path / "raw"

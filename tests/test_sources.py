@@ -4,7 +4,7 @@ import zipfile
 from datetime import date
 
 import pytest
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
 
 from erario.schema import LINE_ID, SOURCE_COLUMNS
 from erario.sources import delimited, months, profile
@@ -25,7 +25,7 @@ def test_file_profiles(spark, tmp_path):
         z.writestr("a.csv", "id;nome\n001;A")
         z.writestr("nota.txt", "x")
     bad = {
-        "vazio.csv": b"", "curto.csv": b"id;nome\n001", "aberto.csv": b'id;nome\n001;"aberto',
+        "curto.csv": b"id;nome\n001", "aberto.csv": b'id;nome\n001;"aberto',
         "semnome.csv": b"id;\n001;A", "binario.csv": b"\x00\x01", "unica.csv": b"codigo\n1\n",
         "nota.txt": b"texto", "invalido.zip": b"nao e zip",
     }
@@ -54,6 +54,8 @@ def test_probe_reads_a_bounded_sample():
     stream = Counting(b"id;nome\n" + b"1;a\n" * 100_000)
     assert profile.probe(stream)["amostra"] == [["1", "a"]] * 3
     assert stream.asked[0] == profile.PROBE_BYTES and max(stream.asked) <= profile.PROBE_BYTES
+    with pytest.raises(ValueError, match="vazio"):
+        profile.probe(io.BytesIO(b""))
     cut = ("é" * 70_000).encode("utf-8")
     assert profile.guess_encoding(cut[: profile.PROBE_BYTES + 1]) == "utf-8"
     assert profile.guess_encoding(codecs.BOM_UTF16_BE + b"\x00a") == "utf-16"
@@ -90,7 +92,7 @@ def test_plain_csv_scan_and_round_trip(spark, tmp_path):
     other = df.na.replace("00001", "1")
     assert delimited.round_trip_differences(other, str(tmp_path / "out")).count() == 2
     (tmp_path / "in" / "a.csv").write_bytes((";".join(header) + "\n1;2\n").encode("cp1252"))
-    with pytest.raises(PySparkException):
+    with pytest.raises(Py4JJavaError, match="FAILED_READ_FILE"):
         delimited.read_staging(spark, str(tmp_path / "in")).collect()
     (tmp_path / "in" / "a.csv").write_bytes(b"a;b\n1;2\n")
     with pytest.raises(ValueError, match="Cabeçalho"):
