@@ -59,7 +59,7 @@ def rules() -> dict[str, Column]:
     echo = F.size(F.filter("_words", lambda w, i: F.coalesce(w == F.get("_words", i - 1), F.lit(False))))
     ends = F.regexp_count(text, F.lit(r"[.!?](\s|$)"))
     return {
-        "symbols": F.col("n_symbols") * 2 > F.col("n_words"),
+        "symbols": F.col("n_symbols") * 4 > F.col("n_words"),
         "word_length": (F.col("word_chars") > 15 * F.col("n_words")) | (F.col("word_chars") * 2 < 3 * F.col("n_words")),
         "dup_lines": (F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") * 2 > F.size("_lines")),
         "upper_case": upper * 2 > F.col("word_chars"),
