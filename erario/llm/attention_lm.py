@@ -11,17 +11,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, map_batches, mixed
+from .common import Scratch, WordArray, map_batches, mixed
 from .packing import Tokens
 
 BLOCK, WIDTH, CLASSES, BUCKETS, OWN = 16, 16, 32, 1024, 512
 #: One training block in so many is learned from, spread over every whole training text.
-TRAIN_EVERY = 8
+TRAIN_EVERY = 16
 #: Words whose counts every task holds; the counts of all others are joined.
 FREQUENT = 100_000
 #: Groups in which tasks' parameters are averaged before the driver averages the groups.
 GROUPS = 32
 VOCABULARY = 1 << 16
+#: Stands for the end of a text among the words' hashes.
+END_WORD = np.uint64(0x5EED0FAB1E5EED01)
 SHAPES = {
     "E": (BUCKETS, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "Wr": (WIDTH, WIDTH),
     "M": (BLOCK, 2 * BLOCK), "c": (WIDTH,), "Wo": (WIDTH, CLASSES), "bo": (CLASSES,),
@@ -151,8 +153,8 @@ def _ids(texts: list[bytes | None], path: str) -> list[np.ndarray]:
     return [np.frombuffer(tokens.ids(None if t is None else t.decode("utf-8", "replace")), "<u4")[:-1] for t in texts]
 
 
-def _words(texts: list[bytes | None], known: WordHashes) -> list[np.ndarray]:
-    return [known.of((t or b"").lower().split() + [b" "]) for t in texts]  # a space is the end, no word
+def _words(texts: list[bytes | None], known: WordArray) -> list[np.ndarray]:
+    return [np.append(known.of((t or b"").lower()), END_WORD) for t in texts]
 
 
 def counted(train: DataFrame, path: str) -> DataFrame:
@@ -161,10 +163,12 @@ def counted(train: DataFrame, path: str) -> DataFrame:
     def run(c, known):
         words = np.concatenate(_words(c["text"], known)).view(np.int64)
         ids = np.concatenate(_ids(c["text"], path)).astype(np.int64)
-        (w, n), (i, m) = np.unique(words, return_counts=True), np.unique(ids, return_counts=True)
+        (w, n), m = np.unique(words, return_counts=True), np.bincount(ids)
+        i = np.flatnonzero(m)
+        m = m[i]
         return {"kind": [0] * len(w) + [1] * len(i), "key": np.concatenate([w, i]), "n": np.concatenate([n, m])}
 
-    partial = map_batches(train.select("text"), run, "kind int, key bigint, n bigint", WordHashes, rows=10_000)
+    partial = map_batches(train.select("text"), run, "kind int, key bigint, n bigint", WordArray, rows=10_000)
     return partial.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -203,16 +207,37 @@ def trained(train: DataFrame, path: str, classes: Classes) -> np.ndarray:
     return sum(np.frombuffer(g["weights"], np.float32).astype(np.float64) * (g["blocks"] / n) for g in groups).astype(np.float32)
 
 
-def log10_scores(texts: list[np.ndarray], weights: dict[str, np.ndarray], classes: Classes, chunk: int = 512) -> np.ndarray:
-    """log10 probability of each text's ids."""
+def log10_scores(texts: list[np.ndarray], weights: dict[str, np.ndarray], classes: Classes, chunk: int = 256) -> np.ndarray:
+    """log10 probability of each text's ids: `forward` in fewer passes, for the targets alone."""
     inputs, targets, ids, first, of = blocks_of(texts, classes)
     before, out = shifted(inputs), np.zeros(len(texts))
+    w = weights
+    per_bucket = {k: w["E"] @ w[k] for k in ("Wk", "Wr")} | {"Wq": w["E"] @ w["Wq"] * np.float32(WIDTH**-0.5)}
+    values = np.hstack([w["E"] @ w["Wv"], np.ones((BUCKETS, 1), np.float32)])  # the last column sums the weights
+    seen = w["M"] + _CAUSAL
+    ones = np.ones(CLASSES, np.float32)
     for i in range(0, len(inputs), chunk):
         part = slice(i, i + chunk)
-        z, _ = forward(weights, inputs[part], before[part], first[part])
-        valid = targets[part] >= 0
-        p = np.take_along_axis(z, np.maximum(targets[part], 0)[..., None], 2)[..., 0] / np.log(10) + classes.share[ids[part]]
-        out += np.bincount(of[part], (p * valid).sum(1), len(texts))
+        x = inputs[part]
+        both = np.concatenate([before[part], x], 1)
+        s = per_bucket["Wq"][x] @ per_bucket["Wk"][both].transpose(0, 2, 1)
+        s += seen
+        s[first[part], :, :BLOCK] = -1e9
+        np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+        a = s @ values[both]
+        h = a[..., :WIDTH] / np.maximum(a[..., WIDTH:], 1e-30)
+        h += per_bucket["Wr"][x]
+        h += w["c"]
+        np.tanh(h, out=h)
+        z = h.reshape(-1, WIDTH) @ w["Wo"]
+        z += w["bo"]
+        goal = targets[part].ravel()
+        mine = z[np.arange(len(z)), np.maximum(goal, 0)]
+        np.exp(np.minimum(z, 80, out=z), out=z)
+        p = (mine - np.log(z @ ones)) / np.log(10) + classes.share[ids[part].ravel()]
+        p[goal < 0] = 0
+        out += np.bincount(of[part], p.reshape(-1, BLOCK).sum(1), len(texts))
     return out
 
 
@@ -259,7 +284,7 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, found bigint, logs double, score double, rare array<bigint>"
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), held.alias("held_out"))
-    scored = scratch.table(map_batches(rows, run, schema, WordHashes, rows=500))
+    scored = scratch.table(map_batches(rows, run, schema, WordArray, rows=500))
     rare = scored.select("row", F.explode("rare").alias("key")).join(words, "key").groupBy("row").agg(
         F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs")
     )

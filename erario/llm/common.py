@@ -99,6 +99,40 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+
+
+class WordArray:
+    """64-bit hashes of a text's words, without a Python object for each word.
+
+    A word's hash is a polynomial in its bytes, taken as a difference of running sums and mixed with
+    its length. The tables of powers grow with the longest text seen.
+    """
+
+    def __init__(self):
+        self.grow(1 << 14)
+
+    def grow(self, n: int) -> None:
+        self.power, self.inverse = (
+            np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64))), dtype=np.uint64)
+            for x in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64)))
+        )
+
+    def of(self, text: bytes) -> np.ndarray:
+        b = np.frombuffer(text, np.uint8)
+        if len(b) > len(self.power):
+            self.grow(2 * len(b))
+        inside = np.zeros(len(b) + 2, np.int8)
+        np.logical_not(_SPACE[b], out=inside[1:-1].view(bool))
+        edge = np.diff(inside)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.power[: len(b)] * (b + np.uint64(1)), out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values."""
     x = x ^ (x >> np.uint64(30))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, components, map_batches, runs_hash
+from .common import Scratch, WordArray, components, map_batches, runs_hash
 
 BANDS, ROWS, SHINGLE = 32, 4, 5
 BINS = BANDS * ROWS
@@ -23,12 +23,12 @@ _ASK = np.random.default_rng(20170806).integers(0, BINS, (BINS, 4096), dtype=np.
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
 
 
-def shingle_set(text: bytes | None, known: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes | None, known: WordArray) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the 5-word shingles; a shorter text is one shingle."""
-    words = (text or b"").lower().split()
-    if not words:
+    words = known.of((text or b"").lower())
+    if not len(words):
         return np.empty(0, np.uint64)
-    return np.unique(runs_hash(known.of(words), min(SHINGLE, len(words))) + np.uint64(len(words) * (len(words) < SHINGLE)))
+    return np.unique(runs_hash(words, min(SHINGLE, len(words))) + np.uint64(len(words) * (len(words) < SHINGLE)))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -119,7 +119,7 @@ def groups(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -
     """
     own = scratch or Scratch(docs.sparkSession)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("textkey"))
-    rows = own.table(map_batches(texts, _describe, "doc_id bigint, textkey bigint, n bigint, class binary, bands array<bigint>", WordHashes))
+    rows = own.table(map_batches(texts, _describe, "doc_id bigint, textkey bigint, n bigint, class binary, bands array<bigint>", WordArray))
     classes = own.table(
         rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("textkey", "bands")).alias("one"))
         .select("class", "least", "one.textkey", "one.bands")
@@ -130,7 +130,7 @@ def groups(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -
 
     wanted = own.table(buckets.groupBy("class").agg(F.sum("members").alias("weight")).join(classes.select("class", "textkey"), "class"))
     kept_texts = texts.select("textkey", "text").join(wanted.select("textkey").distinct(), "textkey", "left_semi").dropDuplicates(["textkey"]).select("text")
-    sets = own.table(map_batches(kept_texts, _sets, "class binary, n bigint, shingles binary", WordHashes))
+    sets = own.table(map_batches(kept_texts, _sets, "class binary, n bigint, shingles binary", WordArray))
 
     shingles = map_batches(sets.select("class", "shingles"), _explode, "class binary, shingle bigint", rows=200)
     common = shingles.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle")

@@ -14,13 +14,14 @@ LENGTH, END = 1024, 0
 K1, B = 1.2, 0.75
 #: Words a worker remembers the ids of.
 CACHED = 400_000
-_ODD = re.compile(r" (?=\s|$)")
+#: White space other than space, tab and line ends: such texts are tokenized in one piece.
+_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _tokenizers: dict[str, Tokens] = {}
 
 
 class Tokens(dict):
-    """Ids of a text by one tokenizer. A space before a character that is none starts a piece in the
-    tokenizer's own rule, so ids of the parts between such spaces can be kept and put together."""
+    """Ids of a text by one tokenizer. A space between other characters starts a piece in the
+    tokenizer's own rule, so ids of the words after such spaces can be kept and put together."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -34,22 +35,25 @@ class Tokens(dict):
             _tokenizers[path] = Tokens(path)
         return _tokenizers[path]
 
-    def __missing__(self, part: str) -> bytes:
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED:
             self.clear()
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(part) < 64:
-            self[part] = ids
+        ids = self.encoded(" " + word)
+        if len(word) < 64:
+            self[word] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids, then END."""
         text = text or ""
-        if _ODD.search(text):
-            body = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        first, *rest = text.split(" ")
+        if "" in rest or " \n" in text or " \t" in text or " \r" in text or _RARE.search(text):
+            body = self.encoded(text)
         else:
-            first, *rest = text.split(" ")
-            body = self[first] + b"".join([self[p] for p in map(" ".__add__, rest)]) if text else b""
+            body = self.encoded(first) + b"".join(map(self.__getitem__, rest)) if text else b""
         return body + END.to_bytes(4, "little")
 
 
