@@ -130,24 +130,22 @@ def remove(docs: DataFrame) -> DataFrame:
                     "g": pa.array(g.view(np.int64)), "around": pa.array(around.view(np.int64)),
                     "doc": pa.array([d for d, k in zip(doc[i : i + 500], n) for _ in range(k)], pa.int64()),
                     "row": pa.array(np.repeat(np.array(row[i : i + 500], np.int64), n)),
-                    "first": pa.array(first.astype(np.int32)), "last": pa.array(last.astype(np.int32)), "place": pa.array(place.astype(np.int32)),
+                    "at": pa.array(first << 16 | (last - first) << 8 | place - first),
                 })
 
-    schema = "g bigint, around bigint, doc bigint, row bigint, first int, last int, place int"
-    every = scratch.table(rows.select("doc_id", "bytes", "row").mapInArrow(scan, schema))
+    # found twice from the texts: that costs less than keeping all anchors, most of which occur once
+    every = rows.select("doc_id", "bytes", "row").mapInArrow(scan, "g bigint, around bigint, doc bigint, row bigint, at bigint")
     twice = every.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
     shared = scratch.table(every.join(twice, "g"))
-    scratch.drop(every)
-    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "first")
-    heads = scratch.table(shared.groupBy("g", "around").agg(F.min(F.struct(order.alias("order"), "last", "place")).alias("head")))
-    head = heads.select("g", "around", F.col("head.order.row").alias("head_row"), F.col("head.order.first").alias("head_first"))
-    whole = shared.join(head, ["g", "around"]).filter("row <> head_row or first <> head_first")
-    settled = whole.select("row", F.array(F.col("first")).alias("starts"), F.array(F.col("last") + LENGTH).alias("ends"))
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "at")
+    heads = scratch.table(shared.groupBy("g", "around").agg(F.min(order).alias("head")))
+    head = heads.select("g", "around", F.col("head.row").alias("head_row"), F.col("head.at").alias("head_at"))
+    whole = shared.join(head, ["g", "around"]).filter("row <> head_row or at <> head_at")
+    first, last, place = (F.expr(x).cast("int") for x in ("at >> 16", "(at >> 16) + ((at >> 8) & 255)", "(at >> 16) + (at & 255)"))
+    settled = whole.select("row", F.array(first).alias("starts"), F.array(last + LENGTH).alias("ends"))
 
     mixed_ = heads.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    open_ = heads.join(mixed_, "g").select(
-        "g", F.col("head.order.doc").alias("doc"), F.col("head.order.row").alias("row"), F.col("head.order.first").alias("first"), "head.last", "head.place"
-    )
+    open_ = heads.join(mixed_, "g").select("g", "head.doc", "head.row", "head.at").withColumns({"first": first, "last": last, "place": place})
     places = open_.groupBy("row").agg(F.collect_list(F.struct("g", "doc", "first", "last", "place")).alias("places"))
     contexts = rows.select("row", "bytes").join(places, "row").select("row", "bytes", F.explode("places").alias("p")).select(
         "p.g", "p.doc", "row", "p.first", "p.last", "p.place", F.expr(f"substring(bytes, p.first + 1, p.last - p.first + {LENGTH})").alias("context")
