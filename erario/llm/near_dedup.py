@@ -129,7 +129,8 @@ def groups(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -
     buckets = own.table(spread.join(shared, "bucket"))
 
     wanted = own.table(buckets.groupBy("class").agg(F.sum("members").alias("weight")).join(classes.select("class", "textkey"), "class"))
-    kept_texts = texts.select("textkey", "text").join(wanted.select("textkey").distinct(), "textkey", "left_semi").dropDuplicates(["textkey"]).select("text")
+    # the hint keeps one plan at every size, so that figures of small tables tell those of large ones
+    kept_texts = texts.select("textkey", "text").join(wanted.select("textkey").distinct().hint("merge"), "textkey", "left_semi").dropDuplicates(["textkey"]).select("text")
     sets = own.table(map_batches(kept_texts, _sets, "class binary, n bigint, shingles binary", WordArray))
 
     shingles = map_batches(sets.select("class", "shingles"), _explode, "class binary, shingle bigint", rows=200)
@@ -165,7 +166,13 @@ def groups(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -
     open_ = largest.select("bucket", F.col("top.label_a").alias("top"))
     minor = left.join(open_, "bucket").filter(F.col("label_a") != F.col("top")).drop("top")
     right = left.join(open_, "bucket", "left_semi").select("bucket", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("common_a").alias("common_b"), F.col("label_a").alias("label_b"))
-    rest = minor.join(right, "bucket").filter(F.col("label_a") != F.col("label_b")).filter(_possible(percent))
+    keys = classes.select("class", "bands")
+    minor = minor.join(keys.select(F.col("class").alias("a"), F.col("bands").alias("bands_a")), "a")
+    right = right.join(keys.select(F.col("class").alias("b"), F.col("bands").alias("bands_b")), "b")
+    # a pair that shares several buckets comes out of the first of them alone
+    same = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    apart = (minor["bucket"] == right["bucket"]) & (F.col("label_a") != F.col("label_b")) & _possible(percent) & (F.get(same, F.lit(0)) == minor["bucket"])
+    rest = minor.join(right, apart)
     rest = own.table(rest.select(*ordered).distinct().join(first, ["a", "b"], "left_anti"))
     more = own.table(_linked(rest, sets, percent))
     named = labels if not more.limit(1).count() else components(own, links.union(more))
