@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordArray, map_batches, mixed
-from .packing import Tokens
 
 BLOCK, WIDTH, CLASSES, BUCKETS, OWN = 16, 16, 32, 1024, 512
 #: One training block in so many is learned from, spread over every whole training text.
@@ -148,31 +147,66 @@ def shifted(inputs: np.ndarray) -> np.ndarray:
     return np.concatenate([inputs[:1], inputs[:-1]]) if len(inputs) else inputs
 
 
-def _ids(texts: list[bytes | None], path: str) -> list[np.ndarray]:
-    tokens = Tokens.at(path)
-    return [np.frombuffer(tokens.ids(None if t is None else t.decode("utf-8", "replace")), "<u4")[:-1] for t in texts]
+_encodings: dict[str, object] = {}
+
+
+def _encoding(path: str):
+    """The tokenizer of a rank file, once per worker."""
+    if path not in _encodings:
+        import base64
+
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        _encodings[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path]
+
+
+def tokenized(rows: DataFrame, path: str) -> DataFrame:
+    """`row, held_out, ids`; ids are below VOCABULARY and take two bytes each."""
+
+    def run(c, _):
+        e = _encoding(path)
+        ids = [np.array(e.encode_ordinary((t or b"").decode("utf-8", "replace")), "<u2").tobytes() for t in c["text"]]
+        return {"row": c["row"], "held_out": c["held_out"], "ids": ids}
+
+    return map_batches(rows.select("row", "held_out", "text"), run, "row bigint, held_out boolean, ids binary")
+
+
+def _ids(raw: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(r, "<u2").astype(np.int64) for r in raw]
 
 
 def _words(texts: list[bytes | None], known: WordArray) -> list[np.ndarray]:
     return [np.append(known.of((t or b"").lower()), END_WORD) for t in texts]
 
 
-def counted(train: DataFrame, path: str) -> DataFrame:
-    """`kind, key, n` of words (kind 0, hashed) and subword ids (kind 1) over all training texts."""
+def counted(train: DataFrame) -> DataFrame:
+    """`key, n` of the hashed words of all training texts."""
 
     def run(c, known):
-        words = np.concatenate(_words(c["text"], known)).view(np.int64)
-        ids = np.concatenate(_ids(c["text"], path)).astype(np.int64)
-        (w, n), m = np.unique(words, return_counts=True), np.bincount(ids)
-        i = np.flatnonzero(m)
-        m = m[i]
-        return {"kind": [0] * len(w) + [1] * len(i), "key": np.concatenate([w, i]), "n": np.concatenate([n, m])}
+        w, n = np.unique(np.concatenate(_words(c["text"], known)).view(np.int64), return_counts=True)
+        return {"key": w, "n": n}
 
-    partial = map_batches(train.select("text"), run, "kind int, key bigint, n bigint", WordArray, rows=10_000)
-    return partial.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return map_batches(train.select("text"), run, "key bigint, n bigint", WordArray, rows=10_000).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def trained(train: DataFrame, path: str, classes: Classes) -> np.ndarray:
+def id_counts(tokens: DataFrame) -> np.ndarray:
+    """How often each id occurs; the driver gets at most the vocabulary."""
+
+    def run(c, _):
+        n = np.bincount(np.concatenate(_ids(c["ids"])), minlength=1)
+        return {"id": np.flatnonzero(n), "n": n[n > 0]}
+
+    out = np.zeros(VOCABULARY)
+    for r in map_batches(tokens.select("ids"), run, "id bigint, n bigint", rows=10_000).groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r["id"]] = r["n"]
+    return out
+
+
+def trained(train: DataFrame, classes: Classes) -> np.ndarray:
     """Weights averaged over tasks, each by the blocks that it learned from; every task starts alike."""
     sent = train.sparkSession.sparkContext.broadcast((flat(start_weights()), classes))
 
@@ -183,7 +217,7 @@ def trained(train: DataFrame, path: str, classes: Classes) -> np.ndarray:
         learner = Learner(weights)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                inputs, targets, _, first, _ = blocks_of(_ids(batch.column(0).cast(pa.binary()).slice(i, 500).to_pylist(), path), classes)
+                inputs, targets, _, first, _ = blocks_of(_ids(batch.column(0).slice(i, 500).to_pylist()), classes)
                 at = np.arange(int(mixed(np.array([len(inputs)], np.uint64))[0] % np.uint64(TRAIN_EVERY)), len(inputs), TRAIN_EVERY)
                 learner.learn(inputs[at], shifted(inputs)[at], first[at], targets[at])
         yield pa.RecordBatch.from_pydict({"weights": pa.array([learner.w.tobytes()]), "blocks": pa.array([learner.blocks], pa.int64())})
@@ -199,7 +233,7 @@ def trained(train: DataFrame, path: str, classes: Classes) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"weights": pa.array([(total / blocks).astype(np.float32).tobytes()]), "blocks": pa.array([blocks], pa.int64())})
 
     schema = "weights binary, blocks bigint"
-    each = train.select("text").mapInArrow(learn, schema)
+    each = train.select("ids").mapInArrow(learn, schema)
     groups = each.repartition(GROUPS).mapInArrow(average, schema).collect()
     n = sum(g["blocks"] for g in groups)
     if not n:
@@ -250,24 +284,24 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     held = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 2, F.lit(False))
-    train = docs.filter(~held)
-    counts = scratch.table(counted(train, tokenizer))
-    ids = np.zeros(VOCABULARY)
-    for r in counts.filter("kind = 1").collect():  # at most the tokenizer's vocabulary
-        ids[r["key"]] = r["n"]
-    words = counts.filter("kind = 0").select("key", "n")
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), held.alias("held_out"))
+    tokens = scratch.table(tokenized(rows, tokenizer))
+    words = scratch.table(counted(rows.filter("not held_out")))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
     keys = np.array([r["key"] for r in top], np.int64)
     order = np.argsort(keys)
-    classes = Classes(ids)
-    weights = trained(train, tokenizer, classes)
-    sent = docs.sparkSession.sparkContext.broadcast(
-        (keys[order], np.log10(np.array([r["n"] for r in top], float)[order] + 1), shaped(weights), classes)
-    )
+    train = tokens.filter("not held_out")
+    classes = Classes(id_counts(train))
+    spark = docs.sparkSession.sparkContext
+    model = spark.broadcast((shaped(trained(train, classes)), classes))
+    frequent = spark.broadcast((keys[order], np.log10(np.array([r["n"] for r in top], float)[order] + 1)))
+
+    def model_scores(c, _):
+        return {"row": c["row"], "score": log10_scores(_ids(c["ids"]), *model.value)}
 
     def run(c, known):
-        keys, logs, weights, classes = sent.value
+        keys, logs = frequent.value
         words = _words(c["text"], known)
         sizes = np.array([len(w) for w in words])
         h = np.concatenate(words).view(np.int64)
@@ -278,18 +312,17 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
             "row": c["row"], "doc_id": c["doc_id"], "held_out": c["held_out"], "n_tokens": sizes,
             "found": np.bincount(of, hit, len(words)).astype(np.int64),
             "logs": np.bincount(of, np.where(hit, logs[at] if len(keys) else 0.0, 0.0), len(words)),
-            "score": log10_scores(_ids(c["text"], tokenizer), weights, classes),
             "rare": np.split(h[~hit], np.cumsum(np.bincount(of[~hit], minlength=len(words)))[:-1]),
         }
 
-    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, found bigint, logs double, score double, rare array<bigint>"
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), held.alias("held_out"))
+    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, found bigint, logs double, rare array<bigint>"
     scored = scratch.table(map_batches(rows, run, schema, WordArray, rows=500))
     rare = scored.select("row", F.explode("rare").alias("key")).join(words, "key").groupBy("row").agg(
         F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs")
     )
     below = float(np.log10(total + distinct + 1))
-    out = scored.drop("rare").join(rare, "row", "left").select(
+    scores = map_batches(tokens.select("row", "ids"), model_scores, "row bigint, score double", rows=500)
+    out = scored.drop("rare").join(rare, "row", "left").join(scores, "row").select(
         "doc_id", "held_out", "n_tokens", (F.col("found") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), "score",
     )

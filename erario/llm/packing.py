@@ -39,10 +39,8 @@ class Tokens(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
         ids = self.encoded(" " + word)
-        if len(word) < 64:
+        if len(word) < 64 and len(self) < CACHED:  # the first words are the frequent ones
             self[word] = ids
         return ids
 
