@@ -51,7 +51,8 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, ...]:
         p = place[first]
         around = mixed((sums[last + LENGTH] - sums[first]) * _INVERSE[first] + ((p - first) * 256 + last - p + 77).astype(np.uint64))
         out.append((gram[p], around, first + base, last + base, p + base))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, np.int64) for _ in range(5))
+    none = tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else none
 
 
 def construct(matrix: np.ndarray, filled: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
