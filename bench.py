@@ -68,7 +68,7 @@ def main():
         action()
         seconds[name] = round(time.perf_counter() - began, 3)
 
-    by_month = lambda df, name: df.repartition("periodo").write.partitionBy("periodo").parquet(f"{store}/{name}")
+    by_month = lambda df, name: df.hint("rebalance", "periodo").write.partitionBy("periodo").parquet(f"{store}/{name}")
     timed("load_fact", lambda: by_month(fixtures.fact(spark, sf_dir), "fact"))
     timed("load_typed", lambda: by_month(fixtures.despesas(spark, sf_dir), "despesas"))
     bi, typed = spark.read.parquet(f"{store}/fact"), spark.read.parquet(f"{store}/despesas")

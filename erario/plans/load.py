@@ -48,7 +48,9 @@ class Store:
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:  # nothing written yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def ledger(self) -> DataFrame:
@@ -456,7 +458,9 @@ def publications(spark, target: str) -> DataFrame:
     """Publications of a target; the latest one is current."""
     try:
         return spark.read.schema(PUBLICATION).parquet(f"{target}/publicacoes")
-    except AnalysisException:  # nothing published yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], PUBLICATION)
 
 

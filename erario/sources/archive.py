@@ -205,9 +205,9 @@ def blocks(spark: SparkSession, paths, member: str | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame, archives: int) -> DataFrame:
-    """Share the blocks out when there are fewer archives than cores to parse them."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, "arquivo", "primeira") if archives < slots else df
+    """Share the blocks out over all cores, so that a large archive is not parsed by the task that inflated it."""
+    slots = max(archives, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(slots, "arquivo", "primeira")
 
 
 def headers(block_df: DataFrame) -> DataFrame:
