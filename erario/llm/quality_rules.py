@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Rows on which cost and selectivity are estimated at most. They decide the order, never a verdict.
+#: Rows on which cost and selectivity are estimated, on average. They decide the order, never a verdict.
 SAMPLE_ROWS = 1000
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -69,14 +69,16 @@ def rules() -> dict[str, Column]:
     }
 
 
-def cascade_order(base: DataFrame, names: dict[str, Column], rows: int = SAMPLE_ROWS) -> list[str]:
+def cascade_order(docs: DataFrame, names: dict[str, Column], rows: int = SAMPLE_ROWS) -> list[str]:
     """Rule names by rejection per cost, best first.
 
-    Both are estimated on at most `rows` rows whose measured columns are stored, so that a rule's own
-    cost shows and no filter moves below the columns it needs. An empty table keeps some order.
+    Both are estimated on about `rows` rows, drawn in every partition at a rate that keeps their number
+    at every size. Their measured columns are stored, so that a rule's own cost shows and no filter
+    moves below the columns it needs. An empty table keeps some order.
     """
-    scratch = Scratch(base.sparkSession)
-    sample = scratch.table(base.limit(rows))
+    scratch = Scratch(docs.sparkSession)
+    share = min(1.0, rows / max(docs.count(), 1))
+    sample = scratch.table(measured(docs.select("text").sample(share, seed=11)))
     rows = max(sample.count(), 1)
     value = {}
     for name, rule in names.items():
@@ -96,7 +98,7 @@ def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """
     base = measured(docs)
     named = rules()
-    order = order or cascade_order(measured(docs.limit(SAMPLE_ROWS)), named)
+    order = order or cascade_order(docs, named)
     chain = F.when(base_failed(), F.lit("base"))
     for name in order:
         chain = chain.when(F.coalesce(named[name], F.lit(False)), F.lit(name))
