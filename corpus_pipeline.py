@@ -31,7 +31,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full token sequences."""
-    return packing.digest(packing.pack(docs, tokenizer_path()))
+    return packing.digest(packing.pack(docs, tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken")))
 
 
 STAGES = [("quality", quality), ("near_dedup", dedup), ("decontamination", clean), ("secrets", secrets), ("packing", pack)]

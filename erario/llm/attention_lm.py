@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordArray, map_batches, mixed
+from .common import Scratch, WordArray, map_batches, mixed, rank_encoding
 
 BLOCK, WIDTH, CLASSES, BUCKETS, OWN = 16, 16, 32, 1024, 512
 #: One training block in so many is learned from, spread over every whole training text.
@@ -147,28 +147,11 @@ def shifted(inputs: np.ndarray) -> np.ndarray:
     return np.concatenate([inputs[:1], inputs[:-1]]) if len(inputs) else inputs
 
 
-_encodings: dict[str, object] = {}
-
-
-def _encoding(path: str):
-    """The tokenizer of a rank file, once per worker."""
-    if path not in _encodings:
-        import base64
-
-        import tiktoken
-        from public_tokenizers import PATTERN
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
-
-
 def tokenized(rows: DataFrame, path: str) -> DataFrame:
     """`row, held_out, ids`; ids are below VOCABULARY and take two bytes each."""
 
     def run(c, _):
-        e = _encoding(path)
+        e = rank_encoding(path)
         ids = [np.array(e.encode_ordinary((t or b"").decode("utf-8", "replace")), "<u2").tobytes() for t in c["text"]]
         return {"row": c["row"], "held_out": c["held_out"], "ids": ids}
 

@@ -133,6 +133,23 @@ class WordArray:
         return mixed((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+_encodings: dict[str, object] = {}
+
+
+def rank_encoding(path: str):
+    """The tokenizer of a rank file, once per worker."""
+    if path not in _encodings:
+        import base64
+
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        _encodings[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values."""
     x = x ^ (x >> np.uint64(30))

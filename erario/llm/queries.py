@@ -34,7 +34,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path()))
+    return packing.digest(packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken")))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
