@@ -11,6 +11,7 @@ from erario.llm import attention_lm, decontaminate, near_dedup, packing, quality
 from erario.llm.common import WordArray
 from erario.llm.queries import tokenizer_path
 
+RANKS = tokenizer_path("byte_bpe_50k.tiktoken")
 WORDS = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor invidunt ut labore".split()
 LONG = " ".join(WORDS[(i * i + i // 7) % 16] + str(i % 37) for i in range(400))
 TEXTS = [
@@ -66,10 +67,19 @@ def test_hits_against_word_lists(spark, docs):
     assert 0 not in kept and 7 not in kept and {4, 5, 9} <= kept
 
 
+def test_both_tokenizer_files_give_the_same_ids():
+    rng = np.random.default_rng(3)
+    plain = [chr(c) for c in range(0x180) if packing._PLAIN.fullmatch(chr(c))] + list("‘’“”–— \n  sdtmrelv'''<|endoftext|>")
+    drawn = ["".join(rng.choice(plain, n)) for n in rng.integers(0, 300, 500)]
+    one, two = packing.Tokens.at(tokenizer_path()), packing.Tokens.at(tokenizer_path(), RANKS)
+    for t in [*TEXTS, *drawn, "<|endoftext|>", " " * 9000, "a" * 9000, "x" * (packing.PLAIN_LENGTH + 1)]:
+        assert one.ids(t) == two.ids(t)
+
+
 def test_packing_round_trip(docs):
-    pieces = sorted(rows(packing.pack(docs, tokenizer_path(), shard_documents=8)), key=lambda p: (p["sequence_id"], p["offset"]))
-    tokens = packing.Tokens.at(tokenizer_path())
-    whole = {i: tokens.encoded(t or "") + bytes(4) for i, t in enumerate(TEXTS)}
+    pieces = sorted(rows(packing.pack(docs, tokenizer_path(), RANKS, shard_documents=8)), key=lambda p: (p["sequence_id"], p["offset"]))
+    encode = packing.Tokens.at(tokenizer_path()).tokenizer.encode
+    whole = {i: np.array([*encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in enumerate(TEXTS)}
     assert sum(p["length"] for p in pieces) == sum(len(w) // 4 for w in whole.values()) + 2 * len(whole[0]) // 4
     ends = {}
     for p in pieces:
