@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,11 +30,16 @@ class Tokens:
     """
 
     def __init__(self, path: str, ranks: str | None = None):
+        self.path = path
+        self.ranks = rank_encoding(ranks) if ranks else None
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.ranks = rank_encoding(ranks) if ranks else None
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
 
     @staticmethod
     def at(path: str, ranks: str | None = None) -> Tokens:
@@ -74,10 +80,10 @@ class Index:
     def neighbours(self, seed: int) -> np.ndarray:
         """Documents that share a term with `seed`, best first."""
         at = np.searchsorted(self.vocabulary, self.terms[seed])
-        spans = list(zip(self.first[at].tolist(), self.last[at].tolist()))
-        docs = np.concatenate([self.doc[a:b] for a, b in spans])
-        weights = np.concatenate([self.weight[a:b] for a, b in spans])
-        score = np.bincount(docs, weights, self.n)
+        first, sizes = self.first[at], self.last[at] - self.first[at]
+        ends = np.cumsum(sizes)
+        postings = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
+        score = np.bincount(self.doc[postings], self.weight[postings], self.n)
         order = np.argsort(-score, kind="stable")
         return order[score[order] > 0]
 
