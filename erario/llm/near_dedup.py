@@ -3,8 +3,8 @@
 Texts with equal shingle sets are one class. Classes that share a bucket are candidates. Each bucket
 first gives star-shaped edges from its most central class; the edges are confirmed on full sets and
 joined to components. Pairs that a star can miss, those of one bucket that lie in different
-components, are then tried exactly, as far as counts of shared shingles leave them possible. So a
-bucket of thousands of like texts costs its size, not its square, and no confirmed link is lost.
+components, are then tried exactly, as far as counts of shared shingles and the marks of their bins
+leave them possible. Both bounds are exact, so no confirmed link is lost.
 """
 
 from __future__ import annotations
@@ -58,6 +58,31 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def bin_marks(shingles: np.ndarray) -> np.ndarray:
+    """One byte of each bin's least hash, 0 for an empty bin, eight bins in a number.
+
+    A bin whose marks differ in two sets holds a shingle that only one of them has.
+    """
+    at = np.searchsorted(shingles, _EDGES)
+    filled = at < np.append(at[1:], len(shingles))
+    least = shingles[np.minimum(at, len(shingles) - 1)]
+    return np.where(filled, least % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).view(np.int64)
+
+
+def _apart(x, y):
+    """Of eight bins, how many marks differ."""
+    bits = x.bitwiseXOR(y)
+    for step in (4, 2, 1):
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
+    return F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+
+
+def _near_marks(percent: int):
+    """Sets that differ in more shingles than this are no link; each bin with unlike marks holds one or more."""
+    unlike = F.aggregate(F.zip_with("marks_a", "marks_b", _apart), F.lit(0), lambda acc, x: acc + x)
+    return (100 - percent) * (F.col("n_a") + F.col("n_b")) >= (100 + percent) * unlike
+
+
 def _describe(c, known):
     sets = [shingle_set(t, known) for t in c["text"]]
     return {
@@ -66,6 +91,7 @@ def _describe(c, known):
         "n": [len(s) for s in sets],
         "class": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
         "bands": [band_keys(s) if len(s) else None for s in sets],
+        "marks": [bin_marks(s) if len(s) else None for s in sets],
     }
 
 
@@ -119,10 +145,10 @@ def groups(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -
     """
     own = scratch or Scratch(docs.sparkSession)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("textkey"))
-    rows = own.table(map_batches(texts, _describe, "doc_id bigint, textkey bigint, n bigint, class binary, bands array<bigint>", WordArray))
+    rows = own.table(map_batches(texts, _describe, "doc_id bigint, textkey bigint, n bigint, class binary, bands array<bigint>, marks array<bigint>", WordArray))
     classes = own.table(
-        rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("textkey", "bands")).alias("one"))
-        .select("class", "least", "one.textkey", "one.bands")
+        rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("textkey", "bands", "marks")).alias("one"))
+        .select("class", "least", "one.textkey", "one.bands", "one.marks")
     )
     spread = classes.select("class", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
@@ -166,12 +192,12 @@ def groups(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -
     open_ = largest.select("bucket", F.col("top.label_a").alias("top"))
     minor = left.join(open_, "bucket").filter(F.col("label_a") != F.col("top")).drop("top")
     right = left.join(open_, "bucket", "left_semi").select("bucket", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("common_a").alias("common_b"), F.col("label_a").alias("label_b"))
-    keys = classes.select("class", "bands")
-    minor = minor.join(keys.select(F.col("class").alias("a"), F.col("bands").alias("bands_a")), "a")
-    right = right.join(keys.select(F.col("class").alias("b"), F.col("bands").alias("bands_b")), "b")
+    keys = lambda x: classes.select(F.col("class").alias(x), F.col("bands").alias(f"bands_{x}"), F.col("marks").alias(f"marks_{x}"))
+    minor, right = minor.join(keys("a"), "a"), right.join(keys("b"), "b")
     # a pair that shares several buckets comes out of the first of them alone
     same = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     apart = (minor["bucket"] == right["bucket"]) & (F.col("label_a") != F.col("label_b")) & _possible(percent) & (F.get(same, F.lit(0)) == minor["bucket"])
+    apart = apart & _near_marks(percent)
     rest = minor.join(right, apart)
     rest = own.table(rest.select(*ordered).distinct().join(first, ["a", "b"], "left_anti"))
     more = own.table(_linked(rest, sets, percent))
