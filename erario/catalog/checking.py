@@ -48,35 +48,35 @@ def _flat(df: DataFrame, *keys) -> DataFrame:
 
 # --- sets and multisets -------------------------------------------------------------
 
-_CELL = "periodo, codigo_programa, codigo_grupo_despesa"
-_CELLS = _CELL.split(", ")
-_CELL_COUNTS = f"""WITH l AS (SELECT {_CELL}, count(*) AS n FROM fact GROUP BY ALL),
-      r AS (SELECT {_CELL}, count(*) AS n FROM despesas_bi GROUP BY ALL),
-      c AS (SELECT coalesce(l.periodo, r.periodo) AS periodo,
-        coalesce(l.codigo_programa, r.codigo_programa) AS codigo_programa,
-        coalesce(l.codigo_grupo_despesa, r.codigo_grupo_despesa) AS codigo_grupo_despesa,
-        coalesce(l.n, 0) AS esquerda, coalesce(r.n, 0) AS direita
-      FROM l FULL JOIN r ON l.periodo = r.periodo AND l.codigo_programa = r.codigo_programa
-        AND l.codigo_grupo_despesa = r.codigo_grupo_despesa)"""
+_FACT_ROW = ["periodo", *BI_COLUMNS, "classificacao_programa_divida"]
+_ROW = ", ".join(_FACT_ROW)
+_RAISED = ", ".join(
+    f"CAST(CASE WHEN {_FAULT_SQL} THEN {c} + 0.01 ELSE {c} END AS DECIMAL(20,2)) AS {c}" if c == "valor_pago" else c
+    for c in _FACT_ROW
+)
+_ROW_COUNTS = f"""WITH c AS (SELECT {_ROW}, CAST(sum(e) AS BIGINT) AS esquerda, CAST(sum(1 - e) AS BIGINT) AS direita
+      FROM (SELECT {_ROW}, 1 AS e FROM fact UNION ALL SELECT {_RAISED}, 0 AS e FROM fact) GROUP BY {_ROW})"""
 
 
-def _cells(spark, d):
-    return X.fact(spark, d).select(*_CELLS), X.despesas_bi(spark, d).select(*_CELLS)
+def _row_sets(spark, d):
+    """Whole rows of the fact, and the same with one month's paid values off by a cent."""
+    fact = X.fact(spark, d).select(*_FACT_ROW)
+    return fact, _paid_plus_cent(fact, "valor_pago")
 
 
-@query("x01_set_difference", f"SELECT {_CELL} FROM fact EXCEPT SELECT {_CELL} FROM despesas_bi")
+@query("x01_set_difference", f"SELECT {_ROW} FROM fact EXCEPT SELECT {_RAISED} FROM fact")
 def set_difference(spark, d):
-    return compare.set_difference(*_cells(spark, d))
+    return compare.set_difference(*_row_sets(spark, d))
 
 
-@query("x02_multiset_difference", f"{_CELL_COUNTS} SELECT * FROM c WHERE esquerda <> direita")
+@query("x02_multiset_difference", f"{_ROW_COUNTS} SELECT * FROM c WHERE esquerda <> direita")
 def multiset_difference(spark, d):
-    return compare.multiset_difference(*_cells(spark, d))
+    return compare.multiset_difference(*_row_sets(spark, d))
 
 
-@query("x04_difference_size", f"{_CELL_COUNTS} SELECT CAST(sum(abs(esquerda - direita)) AS BIGINT) AS registros_divergentes FROM c")
+@query("x04_difference_size", f"{_ROW_COUNTS} SELECT CAST(sum(abs(esquerda - direita)) AS BIGINT) AS registros_divergentes FROM c")
 def difference_size(spark, d):
-    return compare.difference_size(*_cells(spark, d))
+    return compare.difference_size(*_row_sets(spark, d))
 
 
 @query(
@@ -93,7 +93,6 @@ def union_by_name(spark, d):
 # --- hashes and profiles ------------------------------------------------------------
 
 _BI_ROW = ["id_registro", "periodo", *BI_COLUMNS, "classificacao_programa_divida"]
-_FACT_ROW = _BI_ROW[1:]
 
 
 def _hash_sql(columns):
@@ -284,16 +283,17 @@ def ledger_rows(spark, d):
     return _flat(checks.ledger_rows(_ledger(spark, d), loaded), "periodo")
 
 
-_CONTENT = ["periodo", "codigo_orgao_superior", "codigo_programa", "nome_grupo_despesa", "valor_restos_pagos"]
-
-
 @query(
     "r10_repeated_rows",
     f"""SELECT periodo, CAST(sum(n - 1) AS BIGINT) AS repeticoes
-    FROM (SELECT {", ".join(_CONTENT)}, count(*) AS n FROM fact GROUP BY ALL HAVING count(*) > 1) GROUP BY periodo""",
+    FROM (SELECT {_ROW}, count(*) AS n
+      FROM (SELECT {_ROW} FROM fact UNION ALL SELECT {_ROW} FROM fact WHERE {_FAULT_SQL})
+      GROUP BY {_ROW} HAVING count(*) > 1) GROUP BY periodo""",
 )
 def repeated_rows(spark, d):
-    return quality.repeated_rows_by(X.fact(spark, d).select(*_CONTENT), "periodo")
+    """Equal whole rows of the fact, with one month loaded twice."""
+    fact = X.fact(spark, d).select(*_FACT_ROW)
+    return quality.repeated_rows_by(fact.unionByName(fact.filter(_is_fault())), "periodo")
 
 
 @query(

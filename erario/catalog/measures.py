@@ -224,8 +224,13 @@ def running_total(spark, d):
     return timeline.running_total(X.fact(spark, d))
 
 
-@query("m09_running_total_by_program", _running_sql(_GAP, "codigo_programa"))
+@query("m09_running_total_by_program", _running_sql("fact", "codigo_programa"))
 def running_total_by_program(spark, d):
+    return timeline.running_total(X.fact(spark, d), ["codigo_programa"])
+
+
+@query("m09_running_total_with_gaps", _running_sql(_GAP, "codigo_programa"))
+def running_total_with_gaps(spark, d):
     return timeline.running_total(_with_gap(X.fact(spark, d)), ["codigo_programa"])
 
 

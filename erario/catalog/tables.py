@@ -127,12 +127,15 @@ def duplicates(spark, d):
     return quality.duplicate_summary(X.staging(spark, d).drop(LINE_ID))
 
 
-_LINE_CONTENT = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+_LINE = (
+    "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, "
+    "l_returnflag, l_linestatus, l_shipdate"
+)
 
 
-@query("q08_duplicate_lines", _DUPLICATES.format(source="lineitem", keys=", ".join(_LINE_CONTENT)))
+@query("q08_duplicate_lines", _DUPLICATES.format(source="lineitem", keys=_LINE))
 def duplicate_lines(spark, d):
-    return quality.duplicate_summary(X.table(spark, d, "lineitem").select(*_LINE_CONTENT))
+    return quality.duplicate_summary(X.table(spark, d, "lineitem"))
 
 
 def _blank(columns):

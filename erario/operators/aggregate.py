@@ -78,17 +78,22 @@ def cube_totals(df, row_key, column_key, measures=("valor_pago",), count: str =
 def grand_total(df, keys, measures=BI_MEASURES) -> DataFrame:
     """Rows grouped by `keys` plus one grand-total row (`total` = 1).
 
-    The total is its own aggregate: adding it through grouping sets would
-    expand every row of a detail table.
+    The total adds up the groups: both parts use one shuffled aggregate.
     """
-    detail = grouped_totals(df, keys, measures, count=None).withColumn("total", F.lit(0))
-    overall = df.agg(*[total(m) for m in measures]).withColumn("total", F.lit(1))
-    return detail.unionByName(overall, allowMissingColumns=True)
+    groups = grouped_totals(df, keys, measures, count=None)
+    overall = groups.agg(*[total(m) for m in measures]).withColumn("total", F.lit(1))
+    return groups.withColumn("total", F.lit(0)).unionByName(overall, allowMissingColumns=True)
 
 
 def month_matrix(df, row_key, months, measure="valor_pago") -> DataFrame:
-    """One column per month of `months` (given, so no job is spent finding them)."""
+    """One column per month of `months` (given, so no job is spent finding them).
+
+    A month of the data that is not among them is an error: `total` would count what no column shows.
+    """
+    listed = F.col("periodo").isin(*[F.lit(m).cast("date") for m, _ in months])
+    absent = F.raise_error(F.concat(F.lit("mês sem coluna: "), F.coalesce(F.col("periodo").cast("string"), F.lit("NULL"))))
     monthly = grouped_totals(df, [row_key, "periodo"], [measure], count=None)
+    monthly = monthly.withColumn("periodo", F.when(listed, F.col("periodo")).otherwise(absent.cast("date")))
     cells = [
         F.sum(F.when(F.col("periodo") == F.lit(m).cast("date"), F.col(measure)))
         .cast(TOTAL_TYPE)

@@ -7,9 +7,9 @@ from erario.functions.identity import row_hash
 from erario.operators.aggregate import rows, total
 from erario.operators.quality import multiplicity
 
-# A SHA-256 hex digest is cut into limbs of 15 digits (60 bits): each fits a BIGINT.
+# A SHA-256 hex digest is cut into limbs of at most 15 digits (60 bits): each fits a BIGINT.
 LIMB = 15
-LIMBS = 4
+LIMBS = 5
 
 
 def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -58,7 +58,8 @@ def histogram(df: DataFrame) -> DataFrame:
 def _limb_sums(digest):
     return [
         F.sum(
-            F.conv(F.substring(digest, 1 + i * LIMB, LIMB), 16, 10).cast("decimal(20,0)")
+            # a DECIMAL(28,0) sum is DECIMAL(38,0), so no number of rows overflows it
+            F.conv(F.substring(digest, 1 + i * LIMB, LIMB), 16, 10).cast("decimal(28,0)")
         ).cast("decimal(38,0)")
         for i in range(LIMBS)
     ]
@@ -88,8 +89,7 @@ def fingerprint(df: DataFrame, keys=()) -> DataFrame:
 def logical_profile(df: DataFrame, measures, month: str = "periodo") -> DataFrame:
     """Rows, measure totals and digest per month, in one pass.
 
-    The digests of the months are summed again for the whole table by
-    `profile_total`, so one profile answers both.
+    The limb sums of the months add up to those of the whole table.
     """
     limbs = [f"limbo{i}" for i in range(LIMBS)]
     return (

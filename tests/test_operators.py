@@ -206,3 +206,15 @@ def test_scan_reports_place_and_kind_only(spark):
         ("a", 4, "possivel_segredo"),
     ]
     assert [tuple(r) for r in scan.oversize(df, "f").collect()] == [("c", None, scan.OVERSIZE)]
+
+
+def test_scan_finds_addresses_with_accents(spark):
+    lines = ["josé@exemplo.com", "x@ação.com.br", "É@b.co", "@b.co", "a@b", "a@.c", "ß" * 100_000, "a" * 100_000 + " ana@exemplo.com"]
+    df = spark.createDataFrame([("a", "\n".join(lines))], "f string, text string")
+    assert sorted(r.linha for r in scan.scan(df, "f").collect()) == [1, 2, 3, 8]
+
+
+def test_fingerprint_uses_every_digit(spark):
+    df = spark.createDataFrame([("0" * 64,), ("0" * 63 + "1",)], "h string")
+    prints = df.groupBy("h").agg(compare.fingerprint_expr(F.col("h")).alias("p")).collect()
+    assert len({r.p for r in prints}) == 2
