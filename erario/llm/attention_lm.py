@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordArray, map_batches, mixed, rank_encoding
 
 BLOCK, WIDTH, CLASSES, BUCKETS, OWN = 16, 16, 32, 1024, 512
-#: One training block in so many is learned from, spread over every whole training text.
-TRAIN_EVERY = 16
 #: Words whose counts every task holds; the counts of all others are joined.
 FREQUENT = 100_000
 #: Groups in which tasks' parameters are averaged before the driver averages the groups.
 GROUPS = 32
 VOCABULARY = 1 << 16
+#: Stands for the end of a text among its ids; the tokenizer's own are smaller.
+END_ID = VOCABULARY - 1
 #: Stands for the end of a text among the words' hashes.
 END_WORD = np.uint64(0x5EED0FAB1E5EED01)
 SHAPES = {
@@ -114,9 +114,8 @@ def gradient(w, inputs, before, first, targets) -> tuple[float, dict[str, np.nda
     dboth = dk @ w["Wk"].T + dv @ w["Wv"].T
     dboth[first, :BLOCK] = 0
     du = dh @ w["Wr"].T + dq @ w["Wq"].T + dboth[:, BLOCK:]
-    de = np.zeros(SHAPES["E"], np.float32)
-    np.add.at(de, inputs.ravel(), rows(du))
-    np.add.at(de, before.ravel(), rows(dboth[:, :BLOCK]))
+    cells = np.concatenate([before, inputs], 1)[..., None] * WIDTH + np.arange(WIDTH)
+    de = np.bincount(cells.ravel(), np.concatenate([dboth[:, :BLOCK], du], 1).ravel(), BUCKETS * WIDTH).reshape(SHAPES["E"]).astype(np.float32)
     return loss, {
         "E": de, "Wq": rows(u).T @ rows(dq), "Wk": rows(both).T @ rows(dk), "Wv": rows(both).T @ rows(dv), "Wr": rows(u).T @ rows(dh),
         "M": ds.sum(0), "c": rows(dh).sum(0), "Wo": rows(h).T @ rows(dz), "bo": rows(dz).sum(0),
@@ -148,11 +147,11 @@ def shifted(inputs: np.ndarray) -> np.ndarray:
 
 
 def tokenized(rows: DataFrame, path: str) -> DataFrame:
-    """`row, held_out, ids`; ids are below VOCABULARY and take two bytes each."""
+    """`row, held_out, ids`; ids are below VOCABULARY, take two bytes each and end with END_ID."""
 
     def run(c, _):
         e = rank_encoding(path)
-        ids = [np.array(e.encode_ordinary((t or b"").decode("utf-8", "replace")), "<u2").tobytes() for t in c["text"]]
+        ids = [np.array([*e.encode_ordinary((t or b"").decode("utf-8", "replace")), END_ID], "<u2").tobytes() for t in c["text"]]
         return {"row": c["row"], "held_out": c["held_out"], "ids": ids}
 
     return map_batches(rows.select("row", "held_out", "text"), run, "row bigint, held_out boolean, ids binary")
@@ -190,7 +189,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
 
 
 def trained(train: DataFrame, classes: Classes) -> np.ndarray:
-    """Weights averaged over tasks, each by the blocks that it learned from; every task starts alike."""
+    """Weights averaged over tasks, each by its blocks; every task starts alike and learns from every block of its texts."""
     sent = train.sparkSession.sparkContext.broadcast((flat(start_weights()), classes))
 
     def learn(batches):
@@ -201,8 +200,7 @@ def trained(train: DataFrame, classes: Classes) -> np.ndarray:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 inputs, targets, _, first, _ = blocks_of(_ids(batch.column(0).slice(i, 500).to_pylist()), classes)
-                at = np.arange(int(mixed(np.array([len(inputs)], np.uint64))[0] % np.uint64(TRAIN_EVERY)), len(inputs), TRAIN_EVERY)
-                learner.learn(inputs[at], shifted(inputs)[at], first[at], targets[at])
+                learner.learn(inputs, shifted(inputs), first, targets)
         yield pa.RecordBatch.from_pydict({"weights": pa.array([learner.w.tobytes()]), "blocks": pa.array([learner.blocks], pa.int64())})
 
     def average(batches):
@@ -262,8 +260,9 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per row: `doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`.
 
     Rows whose crc32 of the doc_id as text is 2 modulo 7 are held out, all others train; a row without a
-    doc_id trains. Null is the empty text: one end for the base, no subword and so score 0 for the
-    model. Without any training row every count is 0. Repeated rows count as often as they occur.
+    doc_id trains. Both the base and the model score the end of a text as one more token; null is the
+    empty text, so it is that end alone. Without any training row every count is 0. Repeated rows count
+    as often as they occur.
     """
     scratch = Scratch(docs.sparkSession)
     held = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 2, F.lit(False))
