@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import cached_property
 
@@ -26,7 +27,7 @@ class Tokens:
     """Ids of a text by one tokenizer file.
 
     A rank file of the same vocabulary, where given, is read three times as fast; it gives the ids of
-    texts of plain characters, the tokenizer file those of all others. Both give equal ids there.
+    texts of plain characters without an added token, the tokenizer file those of all others. Both give equal ids there.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -37,9 +38,14 @@ class Tokens:
     def tokenizer(self):
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True
-        return found
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def added(self) -> re.Pattern:
+        """The added tokens of the tokenizer file, which have ids of their own where a text spells them out."""
+        with open(self.path, encoding="utf-8") as file:
+            found = [t["content"] for t in json.load(file).get("added_tokens", [])]
+        return re.compile("|".join(map(re.escape, found)) or "(?!)")
 
     @staticmethod
     def at(path: str, ranks: str | None = None) -> Tokens:
@@ -50,7 +56,7 @@ class Tokens:
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids, then END."""
         text = text or ""
-        if self.ranks and len(text) <= PLAIN_LENGTH and _PLAIN.fullmatch(text):
+        if self.ranks and len(text) <= PLAIN_LENGTH and _PLAIN.fullmatch(text) and not self.added.search(text):
             found = self.ranks.encode_ordinary(text)
         else:
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
