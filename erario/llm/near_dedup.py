@@ -87,6 +87,7 @@ def _describe(c, known):
     sets = [shingle_set(t, known) for t in c["text"]]
     return {
         "doc_id": c["doc_id"],
+        "row": c["row"],
         "textkey": c["textkey"],
         "n": [len(s) for s in sets],
         "class": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
@@ -134,18 +135,19 @@ def _possible(percent: int):
     return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
 
 
-def groups(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+def groups(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None, row: str | None = None) -> DataFrame:
     """Per document: `doc_id, n_shingles, component_id, kept, textkey`.
 
     Documents are linked if `100 * |intersection| >= percent * |union|` of their shingle sets;
     `component_id` is the smallest doc_id reachable. A null, empty or blank text has no shingle and is
     linked with nothing. Rows with a null doc_id belong to their component but do not name it; without
     a named row it is null. Rows that share a doc_id are separate rows. `kept` is true where
-    doc_id and component_id are the same.
+    doc_id and component_id are the same. With `row`, a column of `docs` that numbers its rows, that
+    number and the group's own `label`, null without shingles, come as `row` and `label` too.
     """
     own = scratch or Scratch(docs.sparkSession)
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("textkey"))
-    rows = own.table(map_batches(texts, _describe, "doc_id bigint, textkey bigint, n bigint, class binary, bands array<bigint>, marks array<bigint>", WordArray))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("textkey"), (F.col(row) if row else F.lit(None).cast("long")).alias("row"))
+    rows = own.table(map_batches(texts, _describe, "doc_id bigint, row bigint, textkey bigint, n bigint, class binary, bands array<bigint>, marks array<bigint>", WordArray))
     classes = own.table(
         rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("textkey", "bands", "marks")).alias("one"))
         .select("class", "least", "one.textkey", "one.bands", "one.marks")
@@ -206,10 +208,10 @@ def groups(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -
     least = classes.select("class", "least").join(named.select(F.col("node").alias("class"), "label"), "class", "left")
     least = least.select("class", F.coalesce("label", "class").alias("label"), "least")
     heads = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = least.join(heads, "label").select("class", "component_id")
-    out = rows.select("doc_id", "textkey", F.col("n").alias("n_shingles"), "class").join(of, "class", "left")
+    of = least.join(heads, "label").select("class", "component_id", "label")
+    out = rows.select("doc_id", "row", "textkey", F.col("n").alias("n_shingles"), "class").join(of, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "textkey")
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "textkey", *(["row", "label"] if row else []))
     return own.finish(out)
 
 
@@ -218,7 +220,10 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Rows without shingles stay. Rows of one group that share its smallest doc_id or have none: one stays.
     """
-    found = groups(docs, percent).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_of"), "n_shingles", "kept", F.col("textkey").alias("_key"))
-    gone = found.filter("not kept and n_shingles > 0 and _id is not null").select("_id", "_key").distinct()
-    left = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
-    return left
+    # stored, as numbers drawn again over fewer columns may differ
+    numbered = Scratch(docs.sparkSession).table(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = groups(numbered, percent, row="_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    heads = found.filter("label is not null").groupBy("label").agg(F.min(order)["row"].alias("_row")).select("_row")
+    stay = heads.union(found.filter("label is null").select("row"))
+    return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
