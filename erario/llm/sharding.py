@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SHARDS, ROUNDS = 40, 6
-#: Room above the even share while labels move; the last step restores the even share.
-SLACK = 0.05
+SHARDS = 40
 #: Rows that one ranking window holds on average.
 RANKED = 2000
 
@@ -22,39 +20,35 @@ def equal_texts(rows: DataFrame) -> DataFrame:
     return rows.join(first, "group").filter("row <> b").select(F.col("row").alias("a"), "b")
 
 
-def propagate(scratch: Scratch, labels: DataFrame, links: DataFrame, shards: int, rows: int, rounds: int = ROUNDS) -> DataFrame:
-    """`row, shard` of the linked rows after some rounds of moves towards the neighbours' commonest shard.
+def propagate(scratch: Scratch, labels: DataFrame, links: DataFrame, shards: int, rows: int) -> DataFrame:
+    """`row, shard` of the linked rows after moves towards the commonest shard of their smaller neighbours.
 
-    Half of the rows, by a hash, may move in a round, which keeps two neighbours from changing places.
-    A shard takes as many as its quota leaves room for; of the rows that want in, those of the smallest
+    A row looks only at neighbours of smaller number, so no two rows change places and each comes to
+    rest once those before it have; rounds go on until no shard with room is asked for. A shard has room for linked rows up to the even share, as the last step moves unlinked ones away; of the rows that want in, those of the smallest
     hashes go, so the share that may go is all that the driver has to know: one number a shard.
     """
-    both = scratch.table(links.union(links.select("b", "a")))
-    near = both.select(F.col("a").alias("row")).distinct()
-    cap = int(rows / shards * (1 + SLACK)) + 1
+    down = scratch.table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"))
+    near = down.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    cap = rows // shards
     now = scratch.table(near.join(labels.select("row", "shard"), "row"))
-    fixed = dict(labels.join(near, "row", "left_anti").groupBy("shard").count().collect())
-    for turn in range(rounds):
-        seen = both.join(now.select(F.col("row").alias("b"), "shard"), "b").groupBy(F.col("a").alias("row"), "shard").agg(F.count("*").alias("n"))
+    for turn in count():
+        seen = down.join(now.select(F.col("row").alias("b"), "shard"), "b").groupBy(F.col("a").alias("row"), "shard").agg(F.count("*").alias("n"))
         want = seen.groupBy("row").agg(F.max(F.struct("n", (-F.col("shard")).alias("to"))).alias("best"), F.sum("n").alias("of"))
         own = seen.select("row", "shard", F.col("n").alias("mine"))
-        moves = now.join(want, "row").join(own, ["row", "shard"], "left")
+        moves = now.join(want, "row", "left").join(own, ["row", "shard"], "left")
         chance = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1_000_000)) / 1_000_000
         moves = moves.select("row", "shard", (-F.col("best.to")).alias("to"), (F.col("best.n") > F.coalesce("mine", F.lit(0))).alias("better"), chance.alias("chance"))
-        may = F.col("better") & (F.pmod(F.xxhash64("row"), F.lit(2)) == turn % 2)
-        moves = scratch.table(moves.withColumn("to", F.when(may, F.col("to")).otherwise(F.col("shard"))))
-        size = dict(fixed)
-        for s, n in moves.groupBy("shard").count().collect():
-            size[s] = size.get(s, 0) + n
+        moves = scratch.table(moves.withColumn("to", F.when(F.coalesce("better", F.lit(False)), F.col("to")).otherwise(F.col("shard"))))
+        size = dict(moves.groupBy("shard").count().collect())
         asked = dict(moves.filter("to <> shard").groupBy("to").count().collect())
-        if not asked:
-            continue
+        if not any(size.get(s, 0) < cap for s in asked):
+            scratch.drop(moves)
+            return now
         share = [min(1.0, max(0.0, (cap - size.get(s, 0)) / asked[s])) if s in asked else 0.0 for s in range(shards)]
         admit = F.get(F.array(*[F.lit(x) for x in share]), F.col("to"))
         scratch.drop(now)
         now = scratch.table(moves.select("row", F.when(F.col("chance") < admit, F.col("to")).otherwise(F.col("shard")).alias("shard")))
         scratch.drop(moves)
-    return now
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
