@@ -1,4 +1,9 @@
-"""Lexical retrieval packing: a BM25 index per shard finds the unused neighbours that fill a window."""
+"""Lexical retrieval packing: BM25 finds the unused neighbours that fill a window.
+
+Document frequencies and the average length are those of the whole table. Documents are put in the
+order of their terms of highest BM25 weight before the order is cut into shards, so those that share
+such terms lie in one shard wherever they stood; a cluster larger than a shard is cut by its next terms.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rank_encoding
+from .common import Scratch, map_batches, rank_encoding
 
-#: Documents of one shard on average; bounds a shard's index.
+#: Documents of one shard; bounds a shard's index.
 SHARD_DOCUMENTS = 512
+#: Terms that order a document, and shards that one task cuts from its stretch of the order.
+KEYS, TASK_SHARDS = 8, 8
 LENGTH, END = 1024, 0
 K1, B = 1.2, 0.75
 #: Characters whose classes the two tokenizer libraries cannot see differently, whatever their Unicode version.
@@ -63,10 +70,29 @@ class Tokens:
         return np.array([*found, END], "<u4").tobytes()
 
 
+class Statistics:
+    """Number of documents, average length and document frequencies (terms ascending) of a whole table."""
+
+    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean, self.terms, self.df = n, mean, terms, df
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[np.searchsorted(self.terms, terms)]
+        return np.log(1 + (self.n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+    def keys(self, doc: np.ndarray) -> list[int]:
+        """The terms of highest weight that another document has too, best first."""
+        terms, tf = np.unique(doc, return_counts=True)
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(doc) / self.mean)) * self.idf(terms)
+        weight[self.df[np.searchsorted(self.terms, terms)] < 2] = -1
+        best = np.argsort(-weight, kind="stable")[:KEYS]
+        return terms[best[weight[best] > 0]].tolist()
+
+
 class Index:
-    """BM25 over the token ids of one shard."""
+    """BM25 over the token ids of one shard, weighted by the statistics of the whole table."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], whole: Statistics):
         found = [np.unique(d, return_counts=True) for d in docs]
         sizes = np.array([len(t) for t, _ in found])
         self.terms = [t for t, _ in found]
@@ -77,8 +103,8 @@ class Index:
         self.vocabulary, self.first, df = np.unique(term[order], return_index=True, return_counts=True)
         self.last = self.first + df
         length = np.array([len(d) for d in docs], np.float32)
-        norm = K1 * (1 - B + B * length / length.mean())
-        idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
+        norm = K1 * (1 - B + B * length / whole.mean)
+        idf = whole.idf(self.vocabulary)
         self.doc = doc[order]
         self.weight = (tf * (K1 + 1) / (tf + norm[doc]))[order] * np.repeat(idf, df)
         self.n = len(docs)
@@ -94,14 +120,14 @@ class Index:
         return order[score[order] > 0]
 
 
-def fill(docs: list[np.ndarray], length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
+def fill(docs: list[np.ndarray], whole: Statistics, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
     """Pieces `(document, start, length, sequence, offset)`; each sequence but the last ones is full.
 
     A window's seed is the document that the last window had to cut, or else the next unused one. Its
     unused neighbours follow, best first; the one that does not fit is cut and seeds the next window.
     What is left at the end goes into sequences of powers of two, so nothing is padded.
     """
-    index = Index(docs)
+    index = Index(docs, whole)
     unused = np.ones(len(docs), bool)
     chain, ranked, position, next_doc = [], None, 0, 0
     filled, fresh = 0, True
@@ -144,38 +170,75 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, length: int
     """Pieces of sequences of `length` tokens: `doc_id, start, length, ids, doc_tokens, sequence_id, offset`.
 
     Each row of `docs` is tokenized whole, ends with END, and lies in pieces exactly once; null is the
-    empty text, so it is a piece of one id. `ids` are little-endian unsigned 32-bit. Rows are spread
-    over shards of `shard_documents` on average by row, not by key or text, so copies do not meet in
-    one; an empty table gives no piece. `tokenizer` is a file's path, the same on every
-    executor, and so is `ranks`, a rank file of the same vocabulary.
+    empty text, so it is a piece of one id. `ids` are little-endian unsigned 32-bit. Rows are sorted by
+    their terms of highest weight over the whole table and cut into shards of `shard_documents`; rows of
+    equal terms follow by number, so no cluster is too large for a task. An empty table gives no piece.
+    `tokenizer` is a file's path, the same on every executor, and so is `ranks`, a rank file of the same
+    vocabulary.
     """
-    shards = max(1, -(-docs.count() // shard_documents))
-    row = F.monotonically_increasing_id()
-    spread = docs.select("doc_id", "text", row.alias("row")).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-
-    def run(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("row", kind="stable")
-        tokens = Tokens.at(tokenizer, ranks)
-        raw = [tokens.ids(t) for t in pdf["text"]]
-        ids = [np.frombuffer(r, "<u4") for r in raw]
-        of = pdf["doc_id"].to_numpy()
-        rows = fill(ids, length)
-        base = int(key[0]) << 32
-        return pd.DataFrame({
-            "doc_id": pd.array([None if pd.isna(of[d]) else int(of[d]) for d, *_ in rows], "Int64"),
-            "start": [p[1] for p in rows],
-            "length": [p[2] for p in rows],
-            "ids": [raw[d][4 * s : 4 * (s + n)] for d, s, n, *_ in rows],
-            "doc_tokens": [len(ids[p[0]]) for p in rows],
-            "sequence_id": [base + p[3] for p in rows],
-            "offset": [p[4] for p in rows],
-        })
-
-    return spread.groupBy("shard").applyInPandas(
-        run, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    )
+    import pyarrow as pa
+
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+
+    def tokenize(c, tokens):
+        return {"doc_id": c["doc_id"], "row": c["row"], "ids": [tokens.ids(None if t is None else t.decode("utf-8")) for t in c["text"]]}
+
+    ids = Scratch(docs.sparkSession).table(map_batches(numbered, tokenize, "doc_id bigint, row bigint, ids binary", lambda: Tokens.at(tokenizer, ranks)))
+    whole = statistics(ids)
+    shards = max(1, -(-whole.n // shard_documents))
+    sent = docs.sparkSession.sparkContext.broadcast(whole)
+
+    def order(c, _):
+        return {**c, "keys": [sent.value.keys(np.frombuffer(r, "<u4")) for r in c["ids"]]}
+
+    ordered = map_batches(ids, order, "doc_id bigint, row bigint, ids binary, keys array<bigint>", rows=500)
+    ordered = ordered.repartitionByRange(max(1, -(-shards // TASK_SHARDS)), "keys", "row").sortWithinPartitions("keys", "row")
+    ordered = ordered.select("doc_id", "ids", F.spark_partition_id().alias("part"))
+
+    def run(batches):
+        of, raw, cut = [], [], 0
+
+        def flush(part):
+            docs = [np.frombuffer(r, "<u4") for r in raw]
+            rows = fill(docs, sent.value, length)
+            base = (part << 40) + (cut << 24)
+            return pa.RecordBatch.from_pydict({
+                "doc_id": pa.array([of[p[0]] for p in rows], pa.int64()),
+                "start": pa.array([p[1] for p in rows], pa.int64()),
+                "length": pa.array([p[2] for p in rows], pa.int64()),
+                "ids": pa.array([raw[d][4 * s : 4 * (s + n)] for d, s, n, *_ in rows], pa.binary()),
+                "doc_tokens": pa.array([len(docs[p[0]]) for p in rows], pa.int64()),
+                "sequence_id": pa.array([base + p[3] for p in rows], pa.int64()),
+                "offset": pa.array([p[4] for p in rows], pa.int64()),
+            })
+
+        part = 0
+        for batch in batches:
+            for doc, tokens, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                of.append(doc)
+                raw.append(tokens)
+                if len(raw) == shard_documents:
+                    yield flush(part)
+                    of, raw, cut = [], [], cut + 1
+        if raw:
+            yield flush(part)
+
+    return ordered.mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+
+
+def statistics(ids: DataFrame) -> Statistics:
+    """Of all documents; the driver gets at most the vocabulary."""
+
+    def run(c, _):
+        docs = [np.frombuffer(r, "<u4") for r in c["ids"]]
+        terms, df = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True)
+        # -1 counts the documents, -2 their ids
+        return {"term": [-1, -2, *terms.tolist()], "n": [len(docs), sum(map(len, docs)), *df.tolist()]}
+
+    found = dict(map_batches(ids.select("ids"), run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect())
+    n, total = found.pop(-1, 0), found.pop(-2, 0)
+    terms = np.array(sorted(found), np.int64)
+    return Statistics(n, total / max(n, 1), terms, np.array([found[t] for t in terms.tolist()], np.int64))
 
 
 def digest(packed: DataFrame) -> DataFrame:
