@@ -18,6 +18,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: What the models judge: runs of key characters, if they hold a digit and a letter.
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: What joins the parts of a run, and the shortest part or rest of a run that is judged, that of a counted assignment.
+JOINT, PART = "[/=_-]", 12
 ORDINARY = r"\b[A-Za-z][a-z]{11,}\b|\b[a-z]{3,}[_-][a-z_-]{3,}\b"
 SPAN = "array<struct<start:int,end:int,kind:string>>"
 
@@ -107,20 +109,52 @@ def ratio(run: Column, model: list[tuple[str, float]]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.coalesce(table[p], F.lit(0.0))) / F.length(run)
 
 
+def rests(run: Column, known: Column) -> Column:
+    """What the spans of `known` leave of `run`, as spans."""
+    over = F.array_sort(F.filter(known, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])))
+    span = lambda a, b: F.when(a < b, F.array(F.struct(a.alias("start"), b.alias("end"), F.lit("markov").alias("kind")))).otherwise(F.array().cast(SPAN))
+    return F.aggregate(
+        over,
+        F.struct(run["start"].alias("at"), F.array().cast(SPAN).alias("found")),
+        lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["found"], span(acc["at"], b["start"])).cast(SPAN).alias("found")),
+        lambda acc: F.concat(acc["found"], span(acc["at"], run["end"])).cast(SPAN),
+    )
+
+
+def parts(text: Column, rest: Column) -> Column:
+    """The stretches of `rest` between `/`, `=`, `_` and `-`, as spans."""
+    return F.aggregate(
+        F.split(F.substring(text, rest["start"] + 1, rest["end"] - rest["start"]), JOINT, -1),
+        F.struct(rest["start"].alias("at"), F.array().cast(SPAN).alias("found")),
+        lambda acc, p: F.struct(
+            (acc["at"] + F.length(p) + 1).alias("at"),
+            F.when(F.length(p) < PART, acc["found"]).otherwise(
+                F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end"), F.lit("markov").alias("kind"))))
+            ).cast(SPAN).alias("found"),
+        ),
+        lambda acc: acc["found"],
+    )
+
+
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """`docs` and `_secrets`: all spans by start, then kind; `markov` spans are the models' own.
 
-    A `markov` span is a run of 20 key characters or more, with a digit and a letter, whose mean ratio
-    exceeds `threshold` and which overlaps no span of a fixed pattern. Null and empty texts have no
+    Of a run of 20 key characters or more, what the fixed patterns leave is judged: a rest of PART
+    characters or more, with a digit and a letter, whose mean ratio exceeds `threshold` is a `markov`
+    span, else each part of it between `/`, `=`, `_` and `-` of which that is true. Null and empty texts have no
     span. Rows are judged one by one, so repeated rows repeat their spans.
     """
     model = models(docs)
     text = F.col("text")
     base = docs.withColumns({f"_{k}": c for k, c in base_spans(text).items()} | {"_runs": spans(text, RUN, "markov")})
     known = F.concat("_assign", "_access", "_hex")
-    fresh = F.filter("_runs", lambda s: ~F.exists(known, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    fresh = F.flatten(F.transform("_runs", lambda s: rests(s, known)))
     run = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    likely = F.filter(F.filter(fresh, lambda s: F.rlike(run(s), F.lit("[0-9]")) & F.rlike(run(s), F.lit("[A-Za-z]"))), lambda s: ratio(run(s), model) > threshold)
+    shaped = lambda s: (s["end"] - s["start"] >= PART) & F.rlike(run(s), F.lit("[0-9]")) & F.rlike(run(s), F.lit("[A-Za-z]"))
+    random = lambda s: F.when(shaped(s), ratio(run(s), model) > threshold).otherwise(F.lit(False))
+    likely = F.flatten(F.transform(
+        F.filter(fresh, shaped), lambda s: F.when(random(s), F.array(s)).otherwise(F.filter(parts(text, s), random)).cast(SPAN)
+    ))
     own = F.when(F.size("_runs") > 0, likely).otherwise(F.array().cast(SPAN))
     order = F.create_map(*[F.lit(x) for k, v in enumerate((*KINDS, "markov")) for x in (v, k)])
     ranked = lambda all_: F.transform(
