@@ -19,7 +19,7 @@ LENGTH, GRAM = 100, 24
 WIDE = LENGTH - GRAM + 1
 #: Bytes of text that one array pass takes; longer texts go in overlapping pieces, which changes nothing.
 PIECE = 1 << 20
-#: Contexts that one construction takes; groups of one anchor stay together.
+#: Contexts that one construction takes; an anchor with more is settled by hashes of its strings instead.
 CONTEXTS = 20_000
 COLUMNS = WIDE - 1 + LENGTH
 _R = 0x9E3779B97F4A7C15
@@ -108,6 +108,37 @@ def _settle(rows: list[dict]) -> list[tuple[int, list[int], list[int]]]:
     return out
 
 
+def string_ranges(contexts: DataFrame) -> DataFrame:
+    """Byte ranges `row, starts, ends` of the strings of `contexts` that start earlier too.
+
+    For anchors of any size: each 100-byte string is a row with its 128-bit hash, and the first of each
+    hash is found by a grouping that sums up before the shuffle. Equal strings have equal anchors, so the
+    hash alone is the key.
+    """
+
+    def cut(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                doc, row, first, context = (batch.column(k).slice(i, 500).to_pylist() for k in range(4))
+                n = [len(c) - LENGTH + 1 for c in context]
+                yield pa.RecordBatch.from_pydict({
+                    "h": pa.array([xxhash.xxh3_128_digest(c[j : j + LENGTH]) for c, k in zip(context, n) for j in range(k)], pa.binary()),
+                    "doc": pa.array([d for d, k in zip(doc, n) for _ in range(k)], pa.int64()),
+                    "row": pa.array([r for r, k in zip(row, n) for _ in range(k)], pa.int64()),
+                    "start": pa.array([f + j for f, k in zip(first, n) for j in range(k)], pa.int32()),
+                })
+
+    strings = contexts.select("doc", "row", "first", "context").mapInArrow(cut, "h binary, doc bigint, row bigint, start int")
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "start")
+    heads = strings.groupBy("h").agg(F.min(order).alias("head"), F.count("*").alias("n")).filter("n > 1")
+    heads = heads.select("h", F.col("head.row").alias("head_row"), F.col("head.start").alias("head_start"))
+    later = strings.join(heads, "h").filter("row <> head_row or start <> head_start")
+    return later.select("row", F.array("start").alias("starts"), F.array(F.col("start") + LENGTH).alias("ends"))
+
+
 def remove(docs: DataFrame) -> DataFrame:
     """Per row: `doc_id, n_bytes, n_removed, spans, kept`; `kept` are the bytes that stay.
 
@@ -145,12 +176,14 @@ def remove(docs: DataFrame) -> DataFrame:
     first, last, place = (F.expr(x).cast("int") for x in ("at >> 16", "(at >> 16) + ((at >> 8) & 255)", "(at >> 16) + (at & 255)"))
     settled = whole.select("row", F.array(first).alias("starts"), F.array(last + LENGTH).alias("ends"))
 
-    mixed_ = heads.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    open_ = heads.join(mixed_, "g").select("g", "head.doc", "head.row", "head.at").withColumns({"first": first, "last": last, "place": place})
-    places = open_.groupBy("row").agg(F.collect_list(F.struct("g", "doc", "first", "last", "place")).alias("places"))
-    contexts = rows.select("row", "bytes").join(places, "row").select("row", "bytes", F.explode("places").alias("p")).select(
-        "p.g", "p.doc", "row", "p.first", "p.last", "p.place", F.expr(f"substring(bytes, p.first + 1, p.last - p.first + {LENGTH})").alias("context")
-    )
+    mixed_ = heads.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    open_ = heads.join(mixed_, "g").select("g", "n", "head.doc", "head.row", "head.at").withColumns({"first": first, "last": last, "place": place})
+
+    def contexts(of):
+        places = of.groupBy("row").agg(F.collect_list(F.struct("g", "doc", "first", "last", "place")).alias("places"))
+        return rows.select("row", "bytes").join(places, "row").select("row", "bytes", F.explode("places").alias("p")).select(
+            "p.g", "p.doc", "row", "p.first", "p.last", "p.place", F.expr(f"substring(bytes, p.first + 1, p.last - p.first + {LENGTH})").alias("context")
+        )
 
     def settle(batches):
         waiting: list[dict] = []
@@ -171,8 +204,10 @@ def remove(docs: DataFrame) -> DataFrame:
         if waiting:
             yield flush(waiting)
 
-    parts = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(settle, "row bigint, starts array<int>, ends array<int>")
+    parts = contexts(open_.filter(F.col("n") <= CONTEXTS)).repartition("g").sortWithinPartitions("g").mapInArrow(settle, "row bigint, starts array<int>, ends array<int>")
     found = settled.union(parts)
+    if mixed_.filter(F.col("n") > CONTEXTS).limit(1).count():
+        found = found.union(string_ranges(contexts(open_.filter(F.col("n") > CONTEXTS))))
     ranges = scratch.table(found.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")))
 
     def cut(batches):
