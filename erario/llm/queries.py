@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, decontaminate, near_dedup, packing, quality_model, quality_rules, repeats, secret_scan, sharding, url_filter
+from . import (
+    attention_lm, decontaminate, embedding_dedup, near_dedup, packing, quality_model, quality_rules, repeats, secret_scan, sharding, token_alignment, url_filter, whitening,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +59,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove(_read(spark, sf_dir, "documents")))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = map(tokenizer_path, ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
+    return token_alignment.align(_read(spark, sf_dir, "documents"), *paths)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +82,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_near_dedup, op3_decontamination, op4_lm_scoring, op5_packing, op6_secret_scan, op7_sharding,
-        op8_url_filter, op9_quality_classifier, op10_suffix_dedup, pipeline,
+        op8_url_filter, op9_quality_classifier, op10_suffix_dedup, op11_embedding_dedup, op12_token_alignment, op13_whitening, pipeline,
     )
 }
 ORACLE: dict[str, str] = {}
