@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-from erario.catalog import checking, loading, measures, tables  # noqa: F401  (register)
+from erario.catalog import archives, checking, loading, measures, tables  # noqa: F401  (register)
 from erario.catalog.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -67,18 +67,24 @@ def money_problems(spark, d):
     return texts.groupBy("notacao", problem).agg(rows("textos"))
 
 
+# Orders whose month text is spoiled in three ways.
+_SPOILED = """CASE o_orderkey % 101 WHEN 1 THEN concat(substr({t}, 1, 5), '13') WHEN 2 THEN concat({t}, ' ') WHEN 3 THEN '' ELSE {t} END"""
+
+
 @query(
     "c05_c06_month_text",
-    """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS periodo,
-      strftime(o_orderdate, '%Y/%m') AS texto, count(*) AS registros FROM orders
-    WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY ALL""",
+    f"""WITH t AS (SELECT strftime(o_orderdate, '%Y/%m') AS m, CAST(date_trunc('month', o_orderdate) AS DATE) AS p, o_orderkey
+      FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)),
+      u AS (SELECT {_SPOILED.format(t="m")} AS texto, p, o_orderkey FROM t)
+    SELECT CASE WHEN o_orderkey % 101 IN (1, 2, 3) THEN NULL ELSE p END AS periodo, texto, count(*) AS registros FROM u GROUP BY ALL""",
 )
 def month_text(spark, d):
-    text = F.col(f"`{MONTH_TEXT}`")
-    valid = X.staging(spark, d).filter(M.is_month_text(text))
-    return valid.groupBy(M.parse_month(text).alias("periodo")).agg(rows("registros")).withColumn(
-        "texto", M.format_month(F.col("periodo"))
-    )
+    """Rows per month text; one that is no month has no period."""
+    text = F.expr(_SPOILED.format(t=f"`{MONTH_TEXT}`").replace("o_orderkey", LINE_ID))
+    texts = X.staging(spark, d).select(text.alias("_t"))
+    month = F.when(M.is_month_text(F.col("_t")), M.parse_month(F.col("_t")))
+    counted = texts.groupBy(month.alias("periodo"), F.when(month.isNull(), F.col("_t")).alias("_t")).agg(rows("registros"))
+    return counted.select("periodo", F.coalesce(M.format_month(F.col("periodo")), "_t").alias("texto"), "registros")
 
 
 @query(

@@ -32,9 +32,14 @@ def between(df: DataFrame, start=None, end=None) -> DataFrame:
     return df
 
 
+def counted_rows(df: DataFrame, name: str = ROWS) -> Column:
+    """Number of fact rows of a group: those a stored aggregate stands for, else the rows themselves."""
+    return F.sum(ROWS).cast("bigint").alias(name) if ROWS in df.columns else rows(name)
+
+
 def grouped_totals(df, keys, measures=BI_MEASURES, count: str | None = ROWS) -> DataFrame:
-    """Row count (when named) and sums per key."""
-    aggs = [rows(count)] if count else []
+    """Row count (when named) and sums per key, of fact rows or of a stored aggregate."""
+    aggs = [counted_rows(df, count)] if count else []
     return df.groupBy(*keys).agg(*aggs, *[total(m) for m in measures])
 
 

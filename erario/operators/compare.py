@@ -1,6 +1,8 @@
-"""Multiset comparison and order-independent fingerprints of tables."""
+"""Multiset comparison, order-independent fingerprints and located differences of tables."""
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from erario.functions.identity import row_hash
@@ -10,6 +12,10 @@ from erario.operators.quality import multiplicity
 # A SHA-256 hex digest is cut into limbs of at most 15 digits (60 bits): each fits a BIGINT.
 LIMB = 15
 LIMBS = 5
+# Ids of one node of a digest tree; months and nodes that are named in a filter or sent to all tasks.
+NODE_IDS = 4096
+NAMED_MONTHS = 1000
+SENT_NODES = 100_000
 
 
 def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -55,7 +61,8 @@ def histogram(df: DataFrame) -> DataFrame:
     )
 
 
-def _limb_sums(digest):
+def limb_sums(digest):
+    """Aggregates that add up the limbs of row hashes; sums of parts of a table add up to those of the whole."""
     return [
         F.sum(
             # a DECIMAL(28,0) sum is DECIMAL(38,0), so no number of rows overflows it
@@ -72,7 +79,7 @@ def fingerprint_expr(digest):
     it combines map-side: equal tables need no sort and no shuffle of rows.
     """
     zero = F.lit(0).cast("decimal(38,0)")
-    sums = [F.coalesce(s, zero).cast("string") for s in _limb_sums(digest)]
+    sums = [F.coalesce(s, zero).cast("string") for s in limb_sums(digest)]
     return F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums), 256)
 
 
@@ -98,7 +105,7 @@ def logical_profile(df: DataFrame, measures, month: str = "periodo") -> DataFram
         .agg(
             rows("registros"),
             *[total(m) for m in measures],
-            *[s.alias(n) for s, n in zip(_limb_sums(F.col("_h")), limbs)],
+            *[s.alias(n) for s, n in zip(limb_sums(F.col("_h")), limbs)],
         )
     )
 
@@ -111,3 +118,60 @@ def profile_difference(left: DataFrame, right: DataFrame, month: str = "periodo"
     return a.join(b, F.col(month).eqNullSafe(F.col("_m")), "full_outer").filter(
         ~F.col("esquerda").eqNullSafe(F.col("direita"))
     ).select(F.coalesce(month, "_m").alias(month), "esquerda", "direita")
+
+
+@dataclass(frozen=True)
+class Located:
+    """Where two tables differ: their schemas, months (with both profiles), and rows with both counts."""
+
+    schemas: list[str]
+    months: DataFrame
+    rows: DataFrame
+
+    def size(self) -> int:
+        """Rows to add and remove to make both equal."""
+        return self.rows.agg(F.coalesce(F.sum(F.abs(F.col("esquerda") - F.col("direita"))), F.lit(0)).cast("bigint")).first()[0]
+
+
+def schema_difference(left: DataFrame, right: DataFrame) -> list[str]:
+    """Columns whose name, place or type differs."""
+    a, b = left.dtypes, right.dtypes
+    pairs = [(a[i] if i < len(a) else None, b[i] if i < len(b) else None) for i in range(max(len(a), len(b)))]
+    return [f"{x} <> {y}" for x, y in pairs if x != y]
+
+
+def _nodes(df: DataFrame, month: str, node: Column) -> DataFrame:
+    limbs = [s.alias(f"limbo{i}") for i, s in enumerate(limb_sums(F.col("_h")))]
+    return df.select(month, node.alias("_no"), row_hash(df).alias("_h")).groupBy(month, "_no").agg(rows("registros"), *limbs)
+
+
+def located_difference(left: DataFrame, right: DataFrame, measures, month: str = "periodo", key: str = "id_registro") -> Located:
+    """The rows in which two tables differ, found through a tree of digests: month, range of ids, row.
+
+    Each level reads only what differed on the one above, and what is shuffled are sums of digests; rows
+    are compared with each other only inside ranges that differ. Equal tables are read once.
+    Rows without a key are a range of their own.
+    """
+    schemas = schema_difference(left, right)
+    if schemas:
+        raise ValueError(f"esquemas diferentes: {schemas}")
+    found = profile_difference(logical_profile(left, measures, month), logical_profile(right, measures, month), month)
+    named = [r[0] for r in found.select(month).limit(NAMED_MONTHS + 1).collect()]
+    inside = F.lit(True)
+    if len(named) <= NAMED_MONTHS:  # a filter on constants, which prunes a table partitioned by month
+        inside = F.col(month).isin(*[m for m in named if m is not None]) if any(m is not None for m in named) else F.lit(False)
+        if None in named:
+            inside = inside | F.col(month).isNull()
+    left, right = left.filter(inside), right.filter(inside)
+    node = F.floor(F.col(key) / NODE_IDS)
+    values = F.struct("registros", *[f"limbo{i}" for i in range(LIMBS)])
+    a = _nodes(left, month, node).select(month, "_no", values.alias("_a"))
+    b = _nodes(right, month, node).select(F.col(month).alias("_m"), F.col("_no").alias("_n"), values.alias("_b"))
+    same = F.col(month).eqNullSafe(F.col("_m")) & F.col("_no").eqNullSafe(F.col("_n"))
+    nodes = a.join(b, same, "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(
+        F.coalesce(month, "_m").alias("_m"), F.coalesce("_no", "_n").alias("_n")
+    )
+    few = nodes.limit(SENT_NODES + 1).count() <= SENT_NODES
+    chosen = F.broadcast(nodes) if few else nodes
+    there = lambda df: df.join(chosen, df[month].eqNullSafe(F.col("_m")) & node.eqNullSafe(F.col("_n")), "left_semi")
+    return Located(schemas, found, multiset_difference(there(left), there(right)))

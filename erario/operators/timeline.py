@@ -4,6 +4,8 @@ All of it works on monthly totals (one row per dimension value and month), so
 the windows hold at most the months of one dimension value.
 """
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,14 +49,31 @@ def calendar_months(df: DataFrame, context: Context = Context(), months=None) ->
     return spine.filter(month_selected(context))
 
 
-def _monthly(df, keys, context, measure) -> tuple[DataFrame, Column]:
+def wanted_months(context: Context) -> list[str] | None:
+    """Months whose rows the selected months need: themselves and the ones before; None for all."""
+    chosen = [set(m) for m in [context.months, *[v for c, v in context.clicked if c == "periodo"]] if m is not None]
+    if not chosen:
+        return None
+    first = [date.fromisoformat(m) for m in set.intersection(*chosen)]
+    before = [date(m.year - (m.month == 1), (m.month - 2) % 12 + 1, 1) for m in first]
+    return sorted({m.isoformat() for m in [*first, *before]})
+
+
+def _monthly(df, keys, context, measure, months=None, needed=None) -> tuple[DataFrame, Column]:
     """Monthly totals of the rows in context, and the calendar's last month.
 
-    The calendar spans the whole fact, so rows out of context are kept in the
-    aggregation, without a value. Reading `valor` and `_n` along with the last
-    month makes both results use one shuffled aggregate: the fact is read once.
+    With a stored list of the table's months the context and the `needed` months filter the scan: a
+    table partitioned by month opens these partitions alone. Without one the calendar has to come from
+    the whole fact, so rows out of context are kept in the aggregation, without a value; reading
+    `valor` and `_n` along with the last month makes both results use one shuffled aggregate.
     """
     inside = selected(context)
+    if months is not None:
+        rows = df.filter(inside)
+        if needed is not None:
+            rows = rows.filter(F.col("periodo").isin(*[F.lit(m).cast("date") for m in needed]))
+        totals = rows.groupBy(*keys, "periodo").agg(F.sum(measure).cast(TOTAL_TYPE).alias("valor"))
+        return totals, months.agg(F.max("periodo")).scalar()
     everything = df.groupBy(*keys, "periodo").agg(
         F.sum(F.when(inside, F.col(measure))).cast(TOTAL_TYPE).alias("valor"),
         F.count_if(inside).alias("_n"),
@@ -63,15 +82,15 @@ def _monthly(df, keys, context, measure) -> tuple[DataFrame, Column]:
     return everything.filter("_n > 0").drop("_n"), last
 
 
-def with_previous_month(df, keys=(), context=Context(), measure="valor_pago") -> DataFrame:
+def with_previous_month(df, keys=(), context=Context(), measure="valor_pago", months=None) -> DataFrame:
     """Current and previous-month value per key and selected month.
 
     A cell exists when either month has rows: each monthly total is emitted for
     its own month and, as previous value, for the next one. The previous month
     ignores the month selection; the cell itself has to be a selected calendar
-    month.
+    month. `months` is the table's stored list of months (`periodo`), where there is one.
     """
-    totals, last = _monthly(df, keys, context.without_months(), measure)
+    totals, last = _monthly(df, keys, context.without_months(), measure, months, wanted_months(context))
     none = F.lit(None).cast(TOTAL_TYPE)
     cells = totals.select(
         *keys,
@@ -100,11 +119,11 @@ def variation(current: Column, previous: Column) -> Column:
     return (current - previous).cast(TOTAL_TYPE)
 
 
-def with_variation(df, keys=(), context=Context(), measure="valor_pago") -> DataFrame:
+def with_variation(df, keys=(), context=Context(), measure="valor_pago", months=None) -> DataFrame:
     """Current, previous, difference and relative difference per key and month."""
     current, previous = F.col("atual"), F.col("anterior")
     difference = variation(current, previous)
-    return with_previous_month(df, keys, context, measure).select(
+    return with_previous_month(df, keys, context, measure, months).select(
         *keys,
         "periodo",
         "atual",
@@ -117,16 +136,16 @@ def with_variation(df, keys=(), context=Context(), measure="valor_pago") -> Data
 def last_month_variation(df, keys=(), context=Context(), measure="valor_pago", months=None) -> DataFrame:
     """`with_variation` at the last selected calendar month, as a card shows it."""
     last = calendar_months(df, context, months).agg(F.max("periodo")).scalar()
-    return with_variation(df, keys, context, measure).filter(F.col("periodo") == last)
+    return with_variation(df, keys, context, measure, months).filter(F.col("periodo") == last)
 
 
-def running_total(df, keys=(), context=Context(), measure="valor_pago") -> DataFrame:
+def running_total(df, keys=(), context=Context(), measure="valor_pago", months=None) -> DataFrame:
     """Total accumulated over the selected months, up to each selected month.
 
     A month without rows repeats the total reached before it. Months before the
     first one with rows have no total.
     """
-    totals, last = _monthly(df, keys, context, measure)
+    totals, last = _monthly(df, keys, context, measure, months)
     spine = (
         totals.groupBy(*keys)
         .agg(F.min("periodo").alias("_a"))

@@ -1,12 +1,15 @@
 """Loads: one month, appended months, ranges, rebuilds; export and publication.
 
 A load writes its rows once, under `carga=<run>`, and becomes visible only when
-its ledger rows are written. A job that dies in between leaves files nobody
+its ledger version is created. A job that dies in between leaves files nobody
 reads, and running it again is safe. Readers take the runs the ledger names.
 
+    <root>/textos/carga=<run>/                          while the load runs
     <root>/staging_despesas/carga=<run>/periodo=<month>/
     <root>/despesas/carga=<run>/periodo=<month>/
-    <root>/ledger/
+    <root>/perfis/carga=<run>/
+    <root>/agregados/carga=<run>/no=<node>/
+    <root>/ledger/<version>.json
     <root>/control/
 """
 
@@ -15,23 +18,28 @@ from dataclasses import dataclass
 
 import pyspark
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from erario.functions.identity import global_id
 from erario.functions.money import money_problem
 from erario.functions.months import format_month, is_month_text, parse_month
-from erario.operators.aggregate import between, evolution, ranking
-from erario.operators.compare import fingerprint, logical_profile, multiset_difference, profile_difference
-from erario.operators.quality import monthly_validation, repeated_rows_by, wide_profile
-from erario.plans import checks, model, report
+from erario.operators.aggregate import ROWS, between, evolution, ranking
+from erario.operators.compare import fingerprint, located_difference, multiset_difference
+from erario.operators.quality import monthly_validation, repeated_rows_by
+from erario.plans import checks, commits, lattice, model, profiles, report
 from erario.schema import (
     BI_MEASURES, GROUP, LEDGER_SCHEMA, LINE_ID, MONEY_COLUMNS, MONTH_TEXT, ORGAN, PROGRAM,
     ACTION, SOURCE_COLUMNS, STAGING_SCHEMA, ID_BLOCK,
 )
-from erario.sources import archive, months
-from erario.sources.delimited import round_trip_differences, write_csv
+from erario.sources import archive, months, stream
+from erario.sources.delimited import read_bi, round_trip_differences, write_csv
+
+
+F_ALL = "todos"
+
+REQUIRED_TABLES = ["despesas_bi", *model.VIEW_KEYS]
 
 
 class LoadError(ValueError):
@@ -53,11 +61,19 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def version(self) -> int:
+        """Number of the last ledger version; 0 before the first load."""
+        return commits.latest(self.spark, f"{self.root}/ledger")
+
+    def log(self) -> DataFrame:
+        """Load records of every generation, with their versions."""
+        return commits.log(self.spark, f"{self.root}/ledger")
+
     def ledger(self) -> DataFrame:
         """Load records of the current generation."""
-        everything = self._read("ledger", LEDGER_SCHEMA)
+        everything = self.log()
         current = everything.agg(F.max("geracao")).scalar()
-        return everything.filter(F.col("geracao") == current)
+        return everything.filter(F.col("geracao") == current).select(*LEDGER_SCHEMA.names)
 
     def is_incremental(self) -> bool:
         return bool(self._read("control", T.StructType([T.StructField("version", T.IntegerType())])).take(1))
@@ -66,7 +82,7 @@ class Store:
         # One entry per month loaded: a short list, and a partition filter.
         runs = [r.carga for r in self.ledger().select("carga").distinct().collect()]
         if not runs:
-            raise LoadError("Nenhum mês carregado.")
+            raise LoadError("Nenhum mês foi carregado ainda.")
         return (
             self.spark.read.parquet(f"{self.root}/{name}")
             .filter(F.col("carga").isin(runs))
@@ -79,13 +95,36 @@ class Store:
     def despesas(self) -> DataFrame:
         return self._table("despesas").select(*SOURCE_COLUMNS, LINE_ID, "periodo")
 
+    def profiles(self) -> DataFrame:
+        """The stored profile of each month."""
+        return self._table("perfis").select("periodo", *profiles.columns())
+
+    def node(self, keys) -> DataFrame:
+        """The smallest stored aggregate that answers a grouping by `keys`, else the fact.
+
+        Grouped operators take it in place of `bi()` and never open the table.
+        """
+        stored = self._table("agregados")
+        name = lattice.smallest(keys, {r.no: r["count"] for r in stored.groupBy("no").count().collect()})
+        if name is None:
+            return self.bi()
+        return stored.filter(F.col("no") == name).select("periodo", *lattice.NODES[name], ROWS, *BI_MEASURES)
+
+    def views(self) -> dict[str, DataFrame]:
+        """The published views, from the stored leaf."""
+        return lattice.views(self.node(lattice.NODES["folha"]))
+
+    def months(self) -> DataFrame:
+        """The months of the table, from its profiles: a few rows, no scan of the table."""
+        return self.profiles().select("periodo")
+
     def bi(self) -> DataFrame:
         return model.bi_projection(self.despesas())
 
 
 # --- append plan --------------------------------------------------------------------
 
-NEW, SAME, CHANGED = "carregar", "já carregado; sem alterações", "outro hash; revisão manual necessária"
+NEW, SAME, CHANGED = "a carregar", "nada a fazer: o mesmo arquivo já está na tabela", "conflito: a tabela tem outro arquivo deste mês"
 
 
 def append_plan(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -117,8 +156,8 @@ def record_problems(records: DataFrame, wrong_month) -> DataFrame:
     month = F.col(f"`{MONTH_TEXT}`")
     reason = F.coalesce(
         F.col("problema"),
-        F.when(~is_month_text(month) | wrong_month, F.concat(F.lit("período divergente: "), month)),
-        F.when(F.col(LINE_ID) % ID_BLOCK == 0, F.lit("mês excede o espaço de identificadores")),
+        F.when(~is_month_text(month) | wrong_month, F.concat(F.lit("período alheio ao arquivo: "), month)),
+        F.when(F.col(LINE_ID) % ID_BLOCK == 0, F.lit("linha sem identificador livre no bloco do mês")),
         *money,
     )
     return records.select("arquivo", LINE_ID, reason.alias("motivo")).filter("motivo IS NOT NULL")
@@ -131,31 +170,43 @@ def _refuse(found: dict[str, DataFrame]) -> None:
         raise LoadError(str(failed)) from None
 
 
-def _write_run(store: Store, listing, member, expected_month, offset: bool, source: str):
-    """Write the staged and typed rows of some archives; returns the unpublished run.
+@dataclass(frozen=True)
+class Run:
+    """What one load wrote and nobody reads yet."""
+
+    name: str
+    texts: DataFrame
+    staged: DataFrame
+    typed: DataFrame
+    profiles: DataFrame
+    entries: DataFrame
+
 
-    The archives are parsed once, into the staging folder of the run; what is
-    wrong with a record travels along and is refused before anything is typed.
+def _write_run(store: Store, listing, member, expected_month, offset: bool, source: str) -> Run:
+    """Write the staged and typed rows of some archives, and the profiles of their months.
+
+    The archives are read once, into the text of their records; what is wrong with a record travels
+    along and is refused before anything is typed.
     """
     spark, run = store.spark, uuid.uuid4().hex
-    paths = [r.caminho for r in listing]
-    cut = archive.spread(archive.blocks(spark, paths, member), len(paths))
+    folder = lambda name: f"{store.root}/{name}/carga={run}"
+    archive.record_texts(archive.lines(spark, [r.caminho for r in listing], member)).write.parquet(folder("textos"))
+    texts = spark.read.parquet(folder("textos"))
     text = F.col(f"`{MONTH_TEXT}`")
     month = F.when(is_month_text(text), parse_month(text))
-    parsed = archive.records(cut).withColumn("periodo", month)
+    parsed = archive.records(texts).withColumn("periodo", month)
     if offset:
         # Lines beyond the month's block keep a recognisable id and are refused.
         line = F.when(F.col(LINE_ID) < ID_BLOCK, F.col(LINE_ID)).otherwise(0)
         parsed = parsed.withColumn(LINE_ID, F.coalesce(global_id(line, F.col("periodo")), line))
-    folder = f"{store.root}/staging_despesas/carga={run}"
-    parsed.write.partitionBy("periodo").parquet(folder)
-    schema = T.StructType([*archive.RECORD_SCHEMA, T.StructField("periodo", T.DateType())])
-    staged = spark.read.schema(schema).parquet(folder)
+    parsed.write.partitionBy("periodo").parquet(folder("staging_despesas"))
+    kept = ["arquivo", "membro", *STAGING_SCHEMA.names, "problema"]
+    staged = spark.read.parquet(folder("staging_despesas")).select(*kept, "periodo")
     _refuse({"Registros recusados": record_problems(staged, text != expected_month)})
-    model.typed(staged.select(*STAGING_SCHEMA.names)).write.partitionBy("periodo").parquet(
-        f"{store.root}/despesas/carga={run}"
-    )
-    typed = spark.read.parquet(f"{store.root}/despesas/carga={run}")
+    model.typed(staged.select(*STAGING_SCHEMA.names)).write.partitionBy("periodo").parquet(folder("despesas"))
+    typed = spark.read.parquet(folder("despesas")).select(*SOURCE_COLUMNS, LINE_ID, "periodo")
+    profiles.month_profiles(typed).coalesce(1).write.parquet(folder("perfis"))
+    _write_nodes(store, typed, run)
     hashes = spark.createDataFrame(
         [(r.arquivo, r.sha256, r.periodo) for r in listing], "arquivo string, sha256 string, periodo string"
     )
@@ -169,28 +220,34 @@ def _write_run(store: Store, listing, member, expected_month, offset: bool, sour
         F.current_timestamp().alias("carregado_em"), F.lit(pyspark.__version__).alias("versao"),
         F.lit(run).alias("carga"),
     )
-    return run, staged, typed, entries, cut
+    return Run(run, texts, staged, typed, spark.read.parquet(folder("perfis")), entries)
 
 
-def source_audit(block_df: DataFrame, hashes: DataFrame) -> DataFrame:
+def _write_nodes(store: Store, typed: DataFrame, run: str) -> None:
+    """The stored aggregates of a run; all nodes re-sum one shuffled aggregate."""
+    nodes = lattice.nodes(lattice.leaf(model.bi_projection(typed)))
+    nodes.write.partitionBy("no").parquet(f"{store.root}/agregados/carga={run}")
+
+
+def source_audit(texts: DataFrame, hashes: DataFrame, single_member: bool = True) -> DataFrame:
     """Independent audit with month and hash: periodo, sha256, medida and the counts."""
-    audited = archive.audit(block_df)
+    audited = archive.audit(texts, single_member)
     refused = audited.filter("problema IS NOT NULL").select("arquivo", "problema")
-    _refuse({"Auditoria da origem": refused})
+    _refuse({"A auditoria da origem recusa": refused})
     return audited.join(hashes, "arquivo").select(
         "periodo", "sha256", "medida", "registros", "soma", "negativos", "vazios"
     )
 
 
-def _check_run(store, staged, typed, entries, cut, listing) -> None:
-    """The checks of a single run: counts, sums against the source, text, unchanged files."""
-    hashes = entries.select("arquivo", "periodo", "sha256")
+def _check_run(store: Store, run: Run, listing, single_member: bool = True) -> None:
+    """The checks of a single run: header orders, counts, sums against the source, text, unchanged files."""
+    hashes = run.entries.select("arquivo", "periodo", "sha256")
     _refuse(
         {
-            "Contagens divergentes": checks.cardinality(staged, typed),
-            "Dimensões textuais foram alteradas": checks.text_changes(staged, typed),
-            "Reconciliação com a origem falhou": checks.audit_against_table(
-                source_audit(cut, hashes), entries, typed
+            "Número de registros ou de identidades": checks.cardinality(run.staged, run.typed),
+            "Texto mudado ao tipar": checks.text_changes(run.staged, run.typed),
+            "Somas diferentes das da origem": checks.audit_against_table(
+                source_audit(run.texts, hashes, single_member), run.entries, run.typed
             ),
         }
     )
@@ -200,17 +257,20 @@ def _check_run(store, staged, typed, entries, cut, listing) -> None:
 def _unchanged(store, listing) -> None:
     now = {r.caminho: r.sha256 for r in archive.fingerprints(store.spark, [r.caminho for r in listing]).collect()}
     if any(now.get(r.caminho) != r.sha256 for r in listing):
-        raise LoadError("Um arquivo mudou durante a leitura; carga cancelada.")
+        raise LoadError("Um arquivo de origem não é mais o que foi lido; a carga parou.")
 
 
-def _publish(store: Store, entries: DataFrame, generation: int) -> None:
-    entries.withColumn("geracao", F.lit(generation)).select(*LEDGER_SCHEMA.names).coalesce(1).write.mode(
-        "append"
-    ).parquet(f"{store.root}/ledger")
+def _publish(store: Store, run: Run, generation: int, base: int, still_holds) -> None:
+    entries = run.entries.withColumn("geracao", F.lit(generation))
+    try:
+        commits.publish(store.spark, f"{store.root}/ledger", entries, base, still_holds)
+    except commits.Conflict as lost:
+        raise LoadError(f"A carga não foi publicada: {lost}.") from None
+    commits.remove(store.spark, f"{store.root}/textos/carga={run.name}")
 
 
 def _generation(store: Store) -> int:
-    return store.ledger().agg(F.coalesce(F.max("geracao"), F.lit(0))).first()[0]
+    return store.log().agg(F.coalesce(F.max("geracao"), F.lit(0))).first()[0]
 
 
 def _listing(spark, paths) -> list:
@@ -225,7 +285,7 @@ def _listing(spark, paths) -> list:
         .collect()
     )
     if len(listing) != len(paths):
-        raise LoadError(f"Arquivo vazio entre {sorted(paths)}.")
+        raise LoadError(f"Há um arquivo vazio entre {sorted(paths)}.")
     return listing
 
 
@@ -235,41 +295,32 @@ def load_month(store: Store, path: str, period: str = "2026/01", member=None, so
     """Load a single month, replacing what the table held; all or nothing."""
     months.check_interval(period.replace("/", ""), period.replace("/", ""))
     if store.is_incremental():
-        raise LoadError("Tabela incremental: substituição integral bloqueada.")
+        raise LoadError("Esta tabela recebe meses; a substituição integral está bloqueada.")
+    base = store.version()
     listing = [T.Row(**{**r.asDict(), "periodo": period}) for r in _listing(store.spark, [path])]
-    _, staged, typed, entries, cut = _write_run(store, listing, member, F.lit(period), False, source)
-    reread = model.typed(archive.records(cut).filter("problema IS NULL").select(*SOURCE_COLUMNS))
-    _refuse(
-        {
-            "Contagens divergentes": checks.cardinality(staged, typed),
-            "Dimensões textuais foram alteradas": checks.text_changes(staged, typed),
-            "Reconciliação monetária falhou": checks.source_sums(
-                wide_profile(reread, MONEY_COLUMNS), typed
-            ),
-        }
-    )
-    _unchanged(store, listing)
-    _publish(store, entries, _generation(store) + 1)
-    count = typed.count()
-    return {"registros": count, "sha256": listing[0].sha256}
+    run = _write_run(store, listing, member, F.lit(period), False, source)
+    # a single file may have any name and neighbours, so the month it must hold is given
+    _check_run(store, run, listing, single_member=False)
+    _publish(store, run, _generation(store) + 1, base, lambda newer: False)
+    return {"registros": run.typed.count(), "sha256": listing[0].sha256}
 
 
 def append_months(store: Store, paths, source: str = "") -> list[dict]:
     """Add months to an incremental table in one job, or change nothing.
 
     A month already loaded from the same file is skipped; from another file the
-    whole append is refused. The union of the published and the new rows is
-    validated before it becomes visible.
+    whole append is refused. Only the new months are read: they are validated in full, and added to
+    the stored profiles of the others. `export` validates everything again.
     """
     if not store.is_incremental():
-        raise LoadError("Tabela não inicializada para atualização incremental.")
-    spark = store.spark
+        raise LoadError("Esta tabela ainda não recebe meses; falta o mês inicial.")
+    spark, base = store.spark, store.version()
     listing = _listing(spark, paths)
     incoming = spark.createDataFrame([(r.periodo, r.sha256) for r in listing], "periodo string, sha256 string")
     plan = {r.periodo: r.situacao for r in append_plan(incoming, store.ledger()).collect()}
     changed = sorted(p for p, s in plan.items() if s == CHANGED)
     if changed:
-        raise LoadError(f"Mês já carregado com outro hash; revisão manual necessária: {changed}")
+        raise LoadError(f"{CHANGED}: {changed}")
     new = [r for r in listing if plan[r.periodo] == NEW]
     results = [{"periodo": p, "status": SAME} for p, s in sorted(plan.items()) if s == SAME]
     if not new:
@@ -277,19 +328,25 @@ def append_months(store: Store, paths, source: str = "") -> list[dict]:
     file_month = F.concat(
         F.substring("arquivo", 1, 4), F.lit("/"), F.substring("arquivo", 5, 2)
     )
-    _, staged, typed, entries, cut = _write_run(store, new, None, file_month, True, source)
-    _check_run(store, staged, typed, entries, cut, new)
-    ledger = store.ledger().select(*entries.columns).unionByName(entries)
-    validate(
-        store.staging().unionByName(staged.select(*STAGING_SCHEMA.names)),
-        store.despesas().unionByName(typed.select(*SOURCE_COLUMNS, LINE_ID, "periodo")),
-        ledger,
+    run = _write_run(store, new, None, file_month, True, source)
+    _check_run(store, run, new)
+    validate(run.staged.select(*STAGING_SCHEMA.names), run.typed, run.entries)
+    together = store.profiles().unionByName(run.profiles.select("periodo", *profiles.columns()))
+    _refuse(
+        {
+            "Identificadores de dois meses se cruzam": profiles.overlapping(together),
+            "Perfis e ledger contam registros diferentes": profiles.against_ledger(
+                together, store.ledger().select("periodo", "registros").unionByName(run.entries.select("periodo", "registros"))
+            ),
+        }
     )
-    seen = {r.periodo for r in store.ledger().select("periodo").collect()}
-    if seen & {r.periodo for r in new}:
-        raise LoadError("Mês apareceu durante a carga; tente novamente.")
-    _unchanged(store, new)
-    _publish(store, entries, max(_generation(store), 1))
+    wanted, generation = [r.periodo for r in new], max(_generation(store), 1)
+
+    def still_holds(newer: DataFrame) -> bool:
+        """No other writer has loaded one of these months, or replaced the table."""
+        return not newer.filter(F.col("periodo").isin(wanted) | (F.col("geracao") != generation)).take(1)
+
+    _publish(store, run, generation, base, still_holds)
     return results + [{"periodo": r.periodo, "status": "carregado"} for r in new]
 
 
@@ -302,21 +359,25 @@ def bootstrap(seed: Store, store: Store, expected: dict) -> None:
     found = seed.ledger().select("sha256", "periodo", "registros").collect()
     wanted = [(expected["sha256"], expected["periodo"], expected["registros"])]
     if [tuple(r) for r in found] != wanted:
-        raise LoadError("Proveniência do mês inicial divergente.")
+        raise LoadError("O mês inicial não vem do arquivo esperado.")
     facts = report.totals(seed.bi()).first()
     if (facts.quantidade_registros, facts.valor_pago) != (expected["registros"], expected["valor_pago"]):
-        raise LoadError("A tabela inicial não corresponde à validação do mês.")
-    if not store.ledger().take(1):
+        raise LoadError("A tabela inicial tem outros totais que os esperados.")
+    base = store.version()
+    if not base:
         run = uuid.uuid4().hex
         for name in ("staging_despesas", "despesas"):
-            rows = seed._table(name)
-            rows.write.partitionBy("periodo").parquet(f"{store.root}/{name}/carga={run}")
-        _publish(store, seed.ledger().withColumn("carga", F.lit(run)).drop("geracao"), 1)
+            seed._table(name).write.partitionBy("periodo").parquet(f"{store.root}/{name}/carga={run}")
+        seed._table("perfis").coalesce(1).write.parquet(f"{store.root}/perfis/carga={run}")
+        _write_nodes(store, seed.despesas(), run)
+        entries = seed.ledger().withColumn("carga", F.lit(run)).drop("geracao")
+        # another bootstrap may have been first; its base month is compared below like one's own
+        commits.publish(store.spark, f"{store.root}/ledger", entries.withColumn("geracao", F.lit(1)), 0, lambda newer: False)
     month = F.col(f"`{MONTH_TEXT}`") == expected["periodo"]
     pairs = {"tabela": (store.despesas(), seed.despesas()), "staging": (store.staging(), seed.staging())}
     _refuse(
         {
-            f"Células do mês inicial divergem ({name})": checks.snapshot(mine.filter(month), theirs.filter(month))
+            f"O mês inicial tem outras células ({name})": checks.snapshot(mine.filter(month), theirs.filter(month))
             for name, (mine, theirs) in pairs.items()
         }
     )
@@ -340,7 +401,7 @@ def _archives(spark, raw: str, start: str, end: str) -> list[str]:
     wanted = months.month_range(spark, start, end)
     missing = [r.periodo.strftime("%Y%m") for r in months.missing_months(wanted, found).collect()]
     if missing:
-        raise LoadError(f"Arquivos mensais ausentes: {sorted(missing)}; nenhuma carga iniciada.")
+        raise LoadError(f"Meses ausentes da pasta: {sorted(missing)}; nada foi carregado.")
     return [r.path for r in found.join(wanted, "periodo").orderBy("periodo").collect()]
 
 
@@ -355,16 +416,62 @@ def load_range(store: Store, seed: Store, raw: str, start: str, end: str, source
     return base + (append_months(store, others, source) if others else [])
 
 
-def rebuild(spark, raw: str, root: str, start: str, end: str) -> Store:
-    """Everything again from the raw archives, twice; both results have to be equal."""
-    stores = []
-    for attempt in ("1", "2"):
-        base = f"{root}/run{attempt}"
-        stores.append(Store(spark, f"{base}/consolidado"))
-        load_range(stores[-1], Store(spark, f"{base}/inicial"), raw, start, end)
-    left, right = (logical_profile(s.bi(), BI_MEASURES) for s in stores)
-    _refuse({"Reconstruções divergentes": profile_difference(left, right)})
-    return stores[0]
+@dataclass(frozen=True)
+class Rebuilt:
+    """The first of two equal builds, and what was compared."""
+
+    store: Store
+    export: str
+    report: dict
+
+
+def _build(spark, raw: str, base: str, start: str, end: str, pins: dict | None) -> tuple[Store, str]:
+    """One build from the raw archives: header gate, loads with their audits, pinned totals, export."""
+    paths = _archives(spark, raw, start, end)
+    before = {r.caminho: r.sha256 for r in archive.fingerprints(spark, paths).collect()}
+    heads = archive.headers(archive.record_texts(archive.lines(spark, paths)))
+    orders = archive.header_orders(heads).withColumn("ordens", F.count(F.lit(1)).over(Window.partitionBy()))
+    _refuse({"A ordem das colunas muda entre os arquivos": orders.filter("ordens > 1").drop("ordens")})
+    store, output = Store(spark, f"{base}/consolidado"), f"{base}/export"
+    load_range(store, Store(spark, f"{base}/inicial"), raw, start, end)
+    if pins:
+        wanted = spark.createDataFrame([(F_ALL, *pins.values())], ["_t", *pins])
+        totals = report.totals(store.bi()).withColumn("_t", F.lit(F_ALL))
+        expected = wanted.select("_t", *[F.col(c).cast(totals.schema[c].dataType).alias(c) for c in pins])
+        _refuse({"Totais diferentes dos fixados": checks.differing(expected, totals, ["_t"], list(pins))})
+    export(store, output, start, end)
+    if before != {r.caminho: r.sha256 for r in archive.fingerprints(spark, paths).collect()}:
+        raise LoadError("Um arquivo de origem mudou durante a reconstrução.")
+    return store, output
+
+
+def compare_tables(left: DataFrame, right: DataFrame, label: str) -> dict:
+    """Equality of two BI tables as a report; refused with the size and some rows of the difference."""
+    try:
+        found = located_difference(left, right, BI_MEASURES)
+    except ValueError as error:
+        raise LoadError(f"{label}: {error}") from None
+    size = found.size()
+    if size:
+        examples = "; ".join(r.linha for r in found.rows.select(F.to_json(F.struct("*")).alias("linha")).take(3))
+        raise LoadError(f"{label}: {size} registros divergentes; {examples}")
+    totals = report.totals(left).first()
+    return {"registros_divergentes": size, "esquema": left.dtypes, **totals.asDict()}
+
+
+def rebuild(spark, raw: str, root: str, start: str, end: str, pins: dict | None = None, earlier: str | None = None) -> Rebuilt:
+    """Everything again from the raw archives, twice; both results have to be equal.
+
+    `pins` are totals that the table must have (`quantidade_registros` and measures); `earlier` is the
+    folder of an export to compare with. The root has to be new.
+    """
+    if commits.exists(spark, root):
+        raise LoadError(f"A pasta {root} já existe.")
+    (store, output), (other, _) = (_build(spark, raw, f"{root}/run{n}", start, end, pins) for n in ("1", "2"))
+    found = {"reconstrucoes": compare_tables(store.bi(), other.bi(), "Reconstruções")}
+    if earlier:
+        found["exportacao_anterior"] = compare_tables(read_bi(spark, f"{earlier}/despesas_bi"), read_bi(spark, f"{output}/despesas_bi"), "Exportação anterior")
+    return Rebuilt(store, output, found)
 
 
 # --- validation ---------------------------------------------------------------------
@@ -374,17 +481,17 @@ def validate(staging: DataFrame, despesas: DataFrame, ledger: DataFrame) -> Data
     bi = model.bi_projection(despesas)
     views = model.aggregate_views(bi)
     if broken := checks.type_contract(bi):
-        raise LoadError(f"Contrato de tipos: {broken}")
+        raise LoadError(f"Tipos fora do contrato: {broken}")
     differences = checks.reconciliation(bi, views)
     _refuse(
         {
-            "Contagem/identidade inválida": checks.projection_ids(despesas, bi),
-            "Somas, nulos ou negativos divergem da origem": checks.projection_measures(despesas, bi),
-            "Agregação não reconciliada": checks.view_totals(bi, views),
-            "Reconciliação mensal falhou": checks.view_months(bi, views),
-            "Metadados não correspondem às linhas carregadas": checks.ledger_rows(ledger, despesas),
-            "Cardinalidade de staging diverge": checks.cardinality(staging, despesas),
-            "Soma dos meses ou visão não corresponde ao total": differences.filter("diferenca <> 0"),
+            "Identidades perdidas ou repetidas": checks.projection_ids(despesas, bi),
+            "Medidas da projeção diferentes das da tabela": checks.projection_measures(despesas, bi),
+            "Total de uma visão diferente": checks.view_totals(bi, views),
+            "Mês de uma visão diferente": checks.view_months(bi, views),
+            "Ledger e tabela contam registros diferentes": checks.ledger_rows(ledger, despesas),
+            "Staging e tabela têm números diferentes": checks.cardinality(staging, despesas),
+            "Soma de meses ou de visão diferente do total": differences.filter("diferenca <> 0"),
         }
     )
     return differences
@@ -409,19 +516,27 @@ def range_queries(bi: DataFrame, start, end) -> dict[str, DataFrame]:
 # --- export and publication ---------------------------------------------------------
 
 def export(store: Store, output: str, start: str, end: str) -> DataFrame:
-    """Write every view and the reports of an interval to a new folder; returns its manifest."""
+    """Write every view and the reports of an interval to a new folder; returns its manifest.
+
+    Everything stored is validated again, against the profiles of the loads as well. A folder that
+    exists is refused: a publication may point to it.
+    """
     spark = store.spark
+    if commits.exists(spark, output):
+        raise LoadError(f"A pasta {output} já existe; uma exportação não é sobrescrita.")
     wanted = months.month_range(spark, start, end)
-    _refuse({"Períodos da tabela diferem do intervalo": checks.interval(store.despesas(), wanted)})
+    _refuse({"Períodos da tabela e do intervalo": checks.interval(store.despesas(), wanted)})
     despesas = store.despesas()
+    _refuse({"Meses mudados desde a carga": profiles.spoiled(store.profiles(), despesas)})
     differences = validate(store.staging(), despesas, store.ledger())
     bi = model.bi_projection(despesas)
+    _refuse({"Agregados guardados diferentes da tabela": checks.view_months(bi, store.views())})
     tables = {"despesas_bi": bi, **model.aggregate_views(bi)}
     written = {}
     for name, df in tables.items():
         path = f"{output}/{name}"
         write_csv(df, path, order_by=["id_registro"] if name == "despesas_bi" else ())
-        written[f"CSV diverge do resultado: {name}"] = round_trip_differences(df, path)
+        written[f"CSV diferente da tabela: {name}"] = round_trip_differences(df, path)
     _refuse(written)
     bounds = (f"{start[:4]}-{start[4:]}-01", f"{end[:4]}-{end[4:]}-01")
     reports = {
@@ -431,33 +546,26 @@ def export(store: Store, output: str, start: str, end: str) -> DataFrame:
         **range_queries(bi, *bounds),
     }
     for name, df in reports.items():
-        df.write.mode("overwrite").json(f"{output}/validacao/{name}")
-    manifest(spark, output).write.mode("overwrite").json(f"{output}/manifesto")
+        df.write.json(f"{output}/validacao/{name}")
+    manifest(spark, output).write.json(f"{output}/manifesto")
     return spark.read.json(f"{output}/manifesto")
 
 
 def manifest(spark, output: str) -> DataFrame:
     """Folder, bytes and SHA-256 of every written data file."""
-    written = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "part-*")
-        .load(output)
-    )
-    return written.filter(~F.col("path").contains("/manifesto/")).select(
-        F.regexp_extract("path", r"([^/]+/)?[^/]+\z", 0).alias("arquivo"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    written = stream.fingerprints(spark, output, recursiveFileLookup=True, pathGlobFilter="part-*")
+    return written.filter(~F.col("caminho").contains("/manifesto/")).select(
+        F.regexp_extract("caminho", r"([^/]+/)?[^/]+\z", 0).alias("arquivo"), "bytes", "sha256"
     )
 
 
-PUBLICATION = "pasta string, impressao string, publicado_em timestamp"
+PUBLICATION = "pasta string, impressao string, publicado_em timestamp, tabelas array<string>, arquivos bigint, versao bigint"
 
 
 def publications(spark, target: str) -> DataFrame:
-    """Publications of a target; the latest one is current."""
+    """Publications of a target; the one of the highest version is current."""
     try:
-        return spark.read.schema(PUBLICATION).parquet(f"{target}/publicacoes")
+        return spark.read.schema(PUBLICATION).json(f"{target}/publicacoes")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -467,28 +575,35 @@ def publications(spark, target: str) -> DataFrame:
 def publish(spark, source: str, target: str) -> str:
     """Make a validated export the current publication of `target`.
 
-    The files must match the manifest and every difference must be zero or
-    NULL; an export equal to the current one is left alone. A publication is
-    one appended row that names the export's folder, so readers never see half
-    of it and earlier ones stay available.
+    The export has to hold the required tables and reports, its files must match the manifest and
+    every difference must be zero or NULL; an export equal to the current one is left alone. A
+    publication is a list of outputs with one digest, created as one new version that names the
+    export's folder, so readers never see half of it and earlier ones stay available.
     """
+    folder = F.substring_index("arquivo", "/", 1)
     listed = spark.read.json(f"{source}/manifesto").select("arquivo", "sha256")
+    held = {r[0] for r in listed.select(folder).distinct().collect()}
+    if lacking := [t for t in [*REQUIRED_TABLES, "reconciliacao", "mensal"] if t not in held]:
+        raise LoadError(f"A exportação está incompleta: falta {lacking}.")
     present = manifest(spark, source).select("arquivo", "sha256")
-    _refuse({"Arquivo alterado após validação": multiset_difference(listed, present)})
+    _refuse({"Arquivo alterado depois de validado": multiset_difference(listed, present)})
     differences = spark.read.schema(
         "comparacao string, medida string, total decimal(38,2), diferenca decimal(38,2)"
     ).json(f"{source}/validacao/reconciliacao")
     if not differences.take(1):
-        raise LoadError("Reconciliação ausente; saída principal preservada.")
-    _refuse({"Reconciliação inválida": differences.filter("diferenca <> 0")})
-    content = listed.filter("arquivo LIKE 'despesas_%'").select(
-        F.substring_index("arquivo", "/", 1).alias("tabela"), "sha256"
+        raise LoadError("A exportação não traz a reconciliação; nada foi publicado.")
+    _refuse({"Diferenças na reconciliação": differences.filter("diferenca <> 0")})
+    content = listed.filter(folder.isin(REQUIRED_TABLES)).select(folder.alias("tabela"), "sha256")
+    mark = fingerprint(content).first()
+    current = publications(spark, target).agg(F.max_by("impressao", "versao"), F.coalesce(F.max("versao"), F.lit(0))).first()
+    if current[0] == mark.impressao:
+        return "a publicação atual já tem estes dados: sem alterações"
+    version = current[1] + 1
+    entry = spark.range(1).select(
+        F.lit(source).alias("pasta"), F.lit(mark.impressao).alias("impressao"), F.current_timestamp().alias("publicado_em"),
+        F.array(*map(F.lit, REQUIRED_TABLES)).alias("tabelas"), F.lit(mark.registros).alias("arquivos"), F.lit(version).alias("versao"),
     )
-    mark = fingerprint(content).first().impressao
-    latest = publications(spark, target).agg(F.max_by("impressao", "publicado_em")).first()[0]
-    if latest == mark:
-        return "saída principal já corresponde à exportação; sem alterações"
-    spark.createDataFrame([(source, mark)], "pasta string, impressao string").withColumn(
-        "publicado_em", F.current_timestamp()
-    ).coalesce(1).write.mode("append").parquet(f"{target}/publicacoes")
-    return "saída principal atualizada"
+    line = entry.select(F.to_json(F.struct("*"))).first()[0]
+    if not commits.create_exclusively(spark, f"{target}/publicacoes/{version:012d}.json", [line]):
+        raise LoadError("Outra publicação foi feita ao mesmo tempo; nada mudou.")
+    return "publicação atualizada"

@@ -1,5 +1,4 @@
 import codecs
-import io
 import zipfile
 from datetime import date
 
@@ -43,22 +42,14 @@ def test_file_profiles(spark, tmp_path):
     assert single.amostra == [["1"]]
 
 
-def test_probe_reads_a_bounded_sample():
-    class Counting(io.BytesIO):
-        asked = []
-
-        def read(self, size=-1):
-            self.asked.append(size)
-            return super().read(size)
-
-    stream = Counting(b"id;nome\n" + b"1;a\n" * 100_000)
-    assert profile.probe(stream)["amostra"] == [["1", "a"]] * 3
-    assert stream.asked[0] == profile.PROBE_BYTES and max(stream.asked) <= profile.PROBE_BYTES
-    with pytest.raises(ValueError, match="vazio"):
-        profile.probe(io.BytesIO(b""))
-    cut = ("é" * 70_000).encode("utf-8")
-    assert profile.guess_encoding(cut[: profile.PROBE_BYTES + 1]) == "utf-8"
-    assert profile.guess_encoding(codecs.BOM_UTF16_BE + b"\x00a") == "utf-16"
+def test_a_profile_uses_a_bounded_head(spark, tmp_path):
+    (tmp_path / "grande.csv").write_bytes(b"id;nome\n" + b"1;a\n" * 100_000 + b'2;"aberto\n')
+    (tmp_path / "corte.csv").write_bytes(("é;b\n" + "é" * 70_000).encode("utf-8"))
+    rows = {r.arquivo: r for r in profile.profile_files(spark, str(tmp_path)).collect()}
+    assert rows["grande.csv"].amostra == [["1", "a"]] * 3
+    assert rows["corte.csv"].codificacao is None and "largura" in rows["corte.csv"].problema
+    heads = spark.createDataFrame([(bytearray("é".encode()[:1]),), (bytearray(codecs.BOM_UTF16_BE + b"\x00a"),), (bytearray(b"\x81\xff"),), (bytearray(b"\xe9;"),)], "h binary")
+    assert [r[0] for r in heads.select(profile.encoding_of(heads.h)).collect()] == ["utf-8", "utf-16", "latin-1", "cp1252"]
 
 
 def test_sample_columns(spark):
