@@ -3,21 +3,26 @@
 Texts with equal shingle sets are one class. Classes that share a bucket are candidates. Each bucket
 first gives star-shaped edges from its most central class; the edges are confirmed on full sets and
 joined to components. Pairs that a star can miss, those of one bucket that lie in different
-components, are then tried exactly, as far as counts of shared shingles and the marks of their bins
-leave them possible. Both bounds are exact, so no confirmed link is lost.
+components, are then compared inside tasks, block by block: a row is sent for each class and block,
+never for a pair, and a block gives no more links than it has classes. Counts of shared shingles and
+the marks of the bins, both exact bounds, spare most comparisons.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordArray, components, map_batches, runs_hash
+from .embedding_dedup import _groups_of_sorted
 
 BANDS, ROWS, SHINGLE = 32, 4, 5
 BINS = BANDS * ROWS
+#: Classes of one block.
+BLOCK = 1024
 #: Bins that an empty bin asks, in this order, until one is filled.
 _ASK = np.random.default_rng(20170806).integers(0, BINS, (BINS, 4096), dtype=np.int16)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
@@ -69,20 +74,6 @@ def bin_marks(shingles: np.ndarray) -> np.ndarray:
     return np.where(filled, least % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).view(np.int64)
 
 
-def _apart(x, y):
-    """Of eight bins, how many marks differ."""
-    bits = x.bitwiseXOR(y)
-    for step in (4, 2, 1):
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
-    return F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
-
-
-def _near_marks(percent: int):
-    """Sets that differ in more shingles than this are no link; each bin with unlike marks holds one or more."""
-    unlike = F.aggregate(F.zip_with("marks_a", "marks_b", _apart), F.lit(0), lambda acc, x: acc + x)
-    return (100 - percent) * (F.col("n_a") + F.col("n_b")) >= (100 + percent) * unlike
-
-
 def _describe(c, known):
     sets = [shingle_set(t, known) for t in c["text"]]
     return {
@@ -129,6 +120,96 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both.select("a", "b", "set_a", "set_b"), _confirm(percent), "a binary, b binary")
 
 
+class _Block:
+    """Classes whose pairs a task compares, and the components that links have joined so far."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        column = lambda name: rows.column(name).combine_chunks()
+        self.percent, self.names = percent, column("class").to_pylist()
+        self.own, self.n, self.common = (column(c).to_numpy() for c in ("own", "n", "common"))
+        flat = lambda name: column(name).flatten().to_numpy().reshape(rows.num_rows, -1)
+        self.bands, self.marks = flat("bands"), np.ascontiguousarray(flat("marks")).view(np.uint8)
+        self.sets = [np.frombuffer(s, np.uint64) for s in column("shingles").to_pylist()]
+        known = {}
+        self.label = np.array([known.setdefault(x, len(known)) for x in column("label").to_pylist()])
+        self.parent = list(range(len(known)))
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def candidates(self, i: int, j: int):
+        """Pairs of one bucket in different components that the bounds leave possible."""
+        left, right = np.flatnonzero(self.own == i), np.flatnonzero(self.own == j)
+        for start in range(0, len(left), 128):
+            x = left[start : start + 128]
+            near = np.zeros((len(x), len(right)), bool)
+            for band in range(self.bands.shape[1]):
+                near |= self.bands[x, band, None] == self.bands[None, right, band]
+            most = np.minimum(self.common[x, None], self.common[None, right])
+            near &= 100 * most >= self.percent * (self.n[x, None] + self.n[None, right] - most)
+            near &= self.label[x, None] != self.label[None, right]
+            a, b = np.nonzero(near)
+            a, b = x[a], right[b]
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            for s in range(0, len(a), 1 << 15):
+                p, q = a[s : s + (1 << 15)], b[s : s + (1 << 15)]
+                # a bin whose marks are unlike holds a shingle that only one of both sets has
+                unlike = (self.marks[p] != self.marks[q]).sum(1)
+                ok = (100 - self.percent) * (self.n[p] + self.n[q]) >= (100 + self.percent) * unlike
+                yield from zip(p[ok].tolist(), q[ok].tolist())
+
+    def links(self, i: int, j: int):
+        """A link for each join of two components."""
+        for a, b in self.candidates(i, j):
+            x, y = self.root(self.label[a]), self.root(self.label[b])
+            if x == y:
+                continue
+            s, t = self.sets[a], self.sets[b]
+            both = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
+            if 100 * both >= self.percent * (len(s) + len(t) - both):
+                self.parent[x] = y
+                yield self.names[a], self.names[b]
+
+
+def _compare(percent: int):
+    def run(batches):
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+        for rows in _groups_of_sorted(batches, ["g", "i", "j"]):
+            i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+            found = list(_Block(rows, percent).links(i, j))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], schema=schema)
+
+    return run
+
+
+def _missed(own: Scratch, members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links `a, b` between components that share a bucket; None without such buckets.
+
+    Buckets that share a class are one group, so that each class is sent once for each block of its
+    group, whatever the number of its buckets.
+    """
+    labelled = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    labelled = own.table(labelled.select("bucket", "class", "n", "common", "label"))
+    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("class").alias("b")).filter("x <> y")
+    inside = own.table(labelled.join(open_.select("bucket", "b"), "bucket"))
+    if not inside.limit(1).count():
+        return None
+    groups = components(own, inside.filter(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b"))
+    one = inside.select("class", "n", "common", "label").dropDuplicates(["class"])
+    placed = own.table(one.join(groups.select(F.col("node").alias("class"), F.xxhash64("label").alias("g")), "class"))
+    parts = placed.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = placed.join(parts, "g").withColumn("own", F.pmod(F.xxhash64("class"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    dealt = dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "common", "label")
+    whole = dealt.join(classes.select("class", "bands", "marks"), "class").join(sets.select("class", "shingles"), "class")
+    order = ["g", "i", "j"]
+    return own.table(whole.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(percent), "a binary, b binary"))
+
+
 def _possible(percent: int):
     """No pair beyond this bound is a link: shared shingles of either side bound the intersection."""
     most = F.least("common_a", "common_b")
@@ -170,7 +251,6 @@ def groups(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None, r
     )
     members = own.table(buckets.select("bucket", "class").join(able, "class"))
 
-    a = members.select("bucket", *[F.col(x).alias(f"{x}_a" if x != "class" else "a") for x in ("class", "n", "common")])
     b = members.select("bucket", *[F.col(x).alias(f"{x}_b" if x != "class" else "b") for x in ("class", "n", "common")])
     # the centre: the class with the largest share of common shingles, then the most company
     centre = members.groupBy("bucket").agg(
@@ -182,28 +262,8 @@ def groups(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None, r
     links = own.table(_linked(first, sets, percent))
     labels = components(own, links)
 
-    # the rest: pairs of one bucket in different components, from the components that are not its largest
-    def labelled(side, name):
-        return side.join(labels.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}")), name, "left").withColumn(
-            f"label_{name}", F.coalesce(f"label_{name}", name)
-        )
-
-    left = own.table(labelled(a, "a"))
-    sizes = left.groupBy("bucket", "label_a").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "label_a")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = largest.select("bucket", F.col("top.label_a").alias("top"))
-    minor = left.join(open_, "bucket").filter(F.col("label_a") != F.col("top")).drop("top")
-    right = left.join(open_, "bucket", "left_semi").select("bucket", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("common_a").alias("common_b"), F.col("label_a").alias("label_b"))
-    keys = lambda x: classes.select(F.col("class").alias(x), F.col("bands").alias(f"bands_{x}"), F.col("marks").alias(f"marks_{x}"))
-    minor, right = minor.join(keys("a"), "a"), right.join(keys("b"), "b")
-    # a pair that shares several buckets comes out of the first of them alone
-    same = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    apart = (minor["bucket"] == right["bucket"]) & (F.col("label_a") != F.col("label_b")) & _possible(percent) & (F.get(same, F.lit(0)) == minor["bucket"])
-    apart = apart & _near_marks(percent)
-    rest = minor.join(right, apart)
-    rest = own.table(rest.select(*ordered).distinct().join(first, ["a", "b"], "left_anti"))
-    more = own.table(_linked(rest, sets, percent))
-    named = labels if not more.limit(1).count() else components(own, links.union(more))
+    more = _missed(own, members, labels, classes, sets, percent)
+    named = labels if more is None or not more.limit(1).count() else components(own, links.union(more))
 
     least = classes.select("class", "least").join(named.select(F.col("node").alias("class"), "label"), "class", "left")
     least = least.select("class", F.coalesce("label", "class").alias("label"), "least")
