@@ -100,7 +100,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             target = F.when(inside, F.lit(s)).otherwise(target)
             slot = F.when(inside, F.col("surplus") - under_before[s] + held.get(s, 0)).otherwise(slot)
     out = ranked.withColumn("surplus", surplus).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), target.cast("int").alias("shard"), slot.cast("int").alias("slot"),
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), target.cast("int").alias("shard"), slot.cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
     return scratch.finish(out)
