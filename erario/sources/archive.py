@@ -218,16 +218,6 @@ def _header_problem(header: Column) -> Column:
     )
 
 
-def header_problem(header: list[str]) -> str | None:
-    """47 unique contract names in any order, else what is wrong."""
-    if len(header) == len(set(header)) and set(header) == set(SOURCE_COLUMNS):
-        return None
-    return (
-        f"Cabeçalho incompatível: {len(header)} colunas em vez de {len(SOURCE_COLUMNS)}; "
-        f"faltam {sorted(set(SOURCE_COLUMNS) - set(header))}, sobram {sorted(set(header) - set(SOURCE_COLUMNS))}"
-    )
-
-
 def headers(texts: DataFrame) -> DataFrame:
     """arquivo, membro, cabecalho, problema: the header of each file; one row per file."""
     found = texts.filter("registro = 0").select("arquivo", "membro", cells(F.col("texto")).alias("cabecalho"), F.col("problema").alias("_p"))
@@ -295,7 +285,7 @@ def with_cents(df: DataFrame, column: str) -> DataFrame:
     df = df.withColumns({"_inteiro": F.concat_ws("", "_grupos"), "_primeiro": F.get("_grupos", F.lit(0))})
     later = F.forall(F.slice("_grupos", 2, 1 << 20), lambda g: F.length(g) == 3)
     grouped = (F.size("_grupos") == 1) | ((F.length("_primeiro") <= 3) & later)
-    fits = F.length(F.ltrim(F.lit("0"), F.col("_inteiro"))) <= 18
+    fits = F.length(F.ltrim(F.col("_inteiro"), F.lit("0"))) <= 18
     fraction = (F.size("_lados") <= 2) & digits(F.col("_fracao")) & (F.length("_fracao") <= 2)
     df = df.withColumn("_bom", digits(F.col("_inteiro")) & (F.length("_primeiro") > 0) & grouped & fraction & fits)
     amount = F.when(F.col("_bom"), F.concat("_inteiro", F.rpad("_fracao", 2, "0")).try_cast("decimal(20,0)"))

@@ -74,7 +74,7 @@ def text_of(head: Column, encoding: Column) -> Column:
     for name in ("utf-16", "utf-32"):
         case = case.when(encoding == name, F.decode(head, name.upper()))
     # the mark is one character in every Unicode encoding
-    return F.ltrim(F.lit("\ufeff"), case.otherwise(F.make_valid_utf8(head.cast("string"))))
+    return F.ltrim(case.otherwise(F.make_valid_utf8(head.cast("string"))), F.lit("\ufeff"))
 
 
 def delimiter_of(header: Column) -> Column:
@@ -101,9 +101,10 @@ def profile_files(spark: SparkSession, paths, member=None, encoding=None, delimi
     text = text.withColumn("_r", F.filter(F.slice(found, 1, PROBE_ROWS + 1), lambda x: x != ""))
     text = text.withColumn("_linha", F.regexp_extract("_t", r"\A([^\r\n]*)", 1))
     text = text.withColumn("separador", F.lit(delimiter) if delimiter else delimiter_of(F.col("_linha")))
+    cut_by = lambda d: F.transform("_r", lambda x: cells(x, d))
     parts = F.lit(None).cast("array<array<string>>")
     for d in dict.fromkeys([*DELIMITERS, *([delimiter] if delimiter else [])]):
-        parts = F.when(F.col("separador") == d, F.transform("_r", lambda x, d=d: cells(x, d))).otherwise(parts)
+        parts = F.when(F.col("separador") == d, cut_by(d)).otherwise(parts)
     text = text.withColumn("_c", parts)
     header, sample = F.get("_c", F.lit(0)), F.slice("_c", 2, PROBE_ROWS)
     width = F.size(header)

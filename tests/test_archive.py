@@ -167,3 +167,12 @@ def test_a_context_opens_only_its_months(spark, tmp_path):
             text = pruned._jdf.queryExecution().executedPlan().toString()
             scans = [line for line in text.splitlines() if "PartitionFilters" in line]
             assert any("periodo" in s and "2026-04-01" in s.split("PartitionFilters")[1] for s in scans), scans
+
+
+def test_cents_of_money_texts(spark):
+    good = {"  -1.234,56  ": -123456, "": None, " ": None, "0": 0, "+12,3": 1230, "999999999999999999,99": 99999999999999999999, "0000000000000000000001": 100, "1.000.000": 100000000, "-0,01": -1}
+    bad = ["inválido", "1,234", "1.23,45", "12.34,56", "abc", "1e3", "1000000000000000000,00", ",5", "1,", "--1", "+-1", ".", "1..000", "1.000.00", "1,2,3", "1 2", "1234.567"]
+    df = archive.with_cents(spark.createDataFrame([(t,) for t in [*good, *bad]], "t string"), "t")
+    got = {r.t: (r.centavos, r.valido) for r in df.collect()}
+    assert {t: (None if v is None else int(v), ok) for t, (v, ok) in got.items() if t in good} == {t: (v, True) for t, v in good.items()}
+    assert all(got[t] == (None, False) for t in bad), {t: got[t] for t in bad if got[t] != (None, False)}

@@ -3,7 +3,6 @@ import zipfile
 from datetime import date
 
 import pytest
-from py4j.protocol import Py4JJavaError
 
 from erario.schema import LINE_ID, SOURCE_COLUMNS
 from erario.sources import delimited, months, profile
@@ -82,9 +81,29 @@ def test_plain_csv_scan_and_round_trip(spark, tmp_path):
     assert delimited.round_trip_differences(df, str(tmp_path / "out")).count() == 0
     other = df.na.replace("00001", "1")
     assert delimited.round_trip_differences(other, str(tmp_path / "out")).count() == 2
-    (tmp_path / "in" / "a.csv").write_bytes((";".join(header) + "\n1;2\n").encode("cp1252"))
-    with pytest.raises(Py4JJavaError, match="FAILED_READ_FILE"):
-        delimited.read_staging(spark, str(tmp_path / "in")).collect()
+    (tmp_path / "in" / "a.csv").write_bytes((";".join(header) + "\n" + cells + "\n1;2\n").encode("cp1252"))
+    with pytest.raises(Exception, match="registro 2: esperadas 47 colunas, há 2"):
+        delimited.read_staging(spark, str(tmp_path / "in")).select("UF").collect()
     (tmp_path / "in" / "a.csv").write_bytes(b"a;b\n1;2\n")
     with pytest.raises(ValueError, match="Cabeçalho"):
         delimited.read_staging(spark, str(tmp_path / "in"))
+
+
+def test_bytes_that_the_sink_writes(spark, tmp_path):
+    df = spark.createDataFrame([(3, "c", None), (1, 'x; "y"', "Ação"), (2, "", " b ")], "id long, nome string, outro string").repartition(3)
+    delimited.write_csv(df, str(tmp_path / "out"), order_by=["id"], rows_per_file=2)
+    parts = [p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*"))]
+    head = codecs.BOM_UTF8 + b"id;nome;outro\n"
+    assert all(p.startswith(head) for p in parts) and all(p.count(b"\n") <= 3 for p in parts)
+    rows = b"".join(p.removeprefix(head) for p in parts)
+    assert rows == '1;"x; ""y""";Ação\n2;; b \n3;c;\n'.encode()
+    assert delimited.round_trip_differences(df, str(tmp_path / "out")).count() == 0
+
+
+def test_exported_table_reads_back_with_its_types(spark, tmp_path):
+    from erario.schema import BI_SCHEMA
+
+    row = [1, date(2026, 1, 1)] + [None if "decimal" in f.dataType.simpleString() else 'a;"b' for f in BI_SCHEMA.fields[2:]]
+    df = spark.createDataFrame([row], BI_SCHEMA)
+    delimited.write_csv(df, str(tmp_path / "bi"), order_by=["id_registro"])
+    assert delimited.read_bi(spark, str(tmp_path / "bi")).collect() == df.collect()
