@@ -12,12 +12,24 @@ from .common import Scratch
 SHARDS = 40
 #: Rows that one ranking window holds on average.
 RANKED = 2000
+#: Shares into which the rows of one text are dealt where they meet its first row.
+SALTS = 32
 
 
 def equal_texts(rows: DataFrame) -> DataFrame:
     """Links `a, b` between rows of one `group`: each row to the group's first row."""
     first = rows.groupBy("group").agg(F.min("row").alias("b"), F.count("*").alias("n")).filter("n > 1").select("group", "b")
-    return rows.join(first, "group").filter("row <> b").select(F.col("row").alias("a"), "b")
+    return salted(rows, "row").join(copied(first), ["group", "salt"]).filter("row <> b").select(F.col("row").alias("a"), "b")
+
+
+def salted(rows: DataFrame, by: str) -> DataFrame:
+    """`rows` with a `salt` by column `by`, so that a hot key is dealt to SALTS tasks."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+
+
+def copied(keys: DataFrame) -> DataFrame:
+    """One row for each salt, of keys that are met by `salted` rows."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
 
 def propagate(scratch: Scratch, labels: DataFrame, links: DataFrame, shards: int, rows: int) -> DataFrame:
@@ -28,11 +40,13 @@ def propagate(scratch: Scratch, labels: DataFrame, links: DataFrame, shards: int
     hashes go, so the share that may go is all that the driver has to know: one number a shard.
     """
     down = scratch.table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"))
+    heads = scratch.table(down.select("b").distinct())
     near = down.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     cap = rows // shards
     now = scratch.table(near.join(labels.select("row", "shard"), "row"))
     for turn in count():
-        seen = down.join(now.select(F.col("row").alias("b"), "shard"), "b").groupBy(F.col("a").alias("row"), "shard").agg(F.count("*").alias("n"))
+        led = copied(heads.join(now.select(F.col("row").alias("b"), "shard"), "b"))
+        seen = salted(down, "a").join(led, ["b", "salt"]).groupBy(F.col("a").alias("row"), "shard").agg(F.count("*").alias("n"))
         want = seen.groupBy("row").agg(F.max(F.struct("n", (-F.col("shard")).alias("to"))).alias("best"), F.sum("n").alias("of"))
         own = seen.select("row", "shard", F.col("n").alias("mine"))
         moves = now.join(want, "row", "left").join(own, ["row", "shard"], "left")
