@@ -14,6 +14,8 @@ UNWANTED = ("casino", "bets", "pills", "ads", "porn", "poker", "loans")
 FIT_ROWS = 20_000
 FEATURES = ("length", "host_length", "depth", "digits", "entropy", "parameters", "labels", "hyphens", "suffix_rate", "suffix_rows")
 TREES, DEPTH, RATE, BINS = 24, 3, 0.3, 32
+#: Shares into which the rows of one suffix are dealt where they meet its statistics.
+SALTS = 32
 
 
 def parts(urls: DataFrame) -> DataFrame:
@@ -41,15 +43,22 @@ def labelled(urls: DataFrame, unwanted: tuple[str, ...] = UNWANTED) -> Column:
 
 
 def features(urls: DataFrame, stats: DataFrame) -> DataFrame:
-    """`urls` (with host, path) and the columns FEATURES; `stats` has the labels of each host suffix."""
+    """`urls` (with host, path, label) and the columns FEATURES; `stats` has the labels of each host suffix.
+
+    A url's own label is left out of its suffix's rate, so that no feature tells it: `stats` must count
+    each url whose `label` is not null. Rows of one suffix are spread over SALTS tasks.
+    """
     url = F.coalesce("url", F.lit(""))
     n = F.length(url)
     seen = lambda c: (n - F.length(F.replace(url, c, F.lit("")))) / n
     entropy = F.aggregate(F.filter(F.array_distinct(F.split(url, "")), lambda c: c != ""), F.lit(0.0), lambda acc, c: acc - seen(c) * F.log2(seen(c)))
     count = lambda c, ch: F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    joined = urls.withColumn("suffix", suffix()).join(stats, "suffix", "left")
-    rows = F.coalesce("suffix_n", F.lit(0))
+    salted = urls.withColumns({"suffix": suffix(), "salt": F.pmod(F.xxhash64(*urls.columns), F.lit(SALTS))})
+    copies = stats.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = salted.join(copies, ["suffix", "salt"], "left")
+    own = F.col("label").isNotNull().cast("int")
+    others = F.coalesce("suffix_n", F.lit(0)) - own
     return joined.withColumns({
         "length": n.cast("double"),
         "host_length": F.length("host").cast("double"),
@@ -59,9 +68,9 @@ def features(urls: DataFrame, stats: DataFrame) -> DataFrame:
         "parameters": F.when(F.length(query) > 0, count(query, "&") + 1).otherwise(0).cast("double"),
         "labels": (count(F.col("host"), ".") + 1).cast("double"),
         "hyphens": count(F.col("host"), "-").cast("double"),
-        "suffix_rate": (F.coalesce("suffix_bad", F.lit(0.0)) + 0.1) / (rows + 1),
-        "suffix_rows": F.log1p(rows.cast("double")),
-    }).drop("suffix", "suffix_n", "suffix_bad")
+        "suffix_rate": (F.coalesce("suffix_bad", F.lit(0.0)) - F.coalesce("label", F.lit(0.0)) + 0.1) / (others + 1),
+        "suffix_rows": F.log1p(others.cast("double")),
+    }).drop("suffix", "salt", "suffix_n", "suffix_bad")
 
 
 def suffix() -> Column:
@@ -121,15 +130,13 @@ def train(labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list, DataFrame]:
     """Trees and suffix statistics from `url, host, path, label`.
 
     Suffix statistics count all labelled urls; the trees are fitted on at most `rows` of them, those of
-    the smallest hashes. In fitting, a url's own label is left out of its suffix's.
+    the smallest hashes.
     """
     stats = suffix_stats(labels)
     key = F.xxhash64("url")
     picked = labels.filter(F.col("url").isNotNull()).orderBy(key, "url").limit(rows)
     own = features(picked.select("url", "host", "path", "label"), stats)
-    n = F.expm1("suffix_rows")
-    held_out = ((F.col("suffix_rate") * (n + 1) - F.col("label")) / n).alias("suffix_rate")
-    table = own.select(*[held_out if f == "suffix_rate" else F.col(f) for f in FEATURES], "label").toPandas().to_numpy(float)
+    table = own.select(*FEATURES, "label").toPandas().to_numpy(float)
     if not len(table):
         return [0.0], stats
     return boost(np.nan_to_num(table[:, :-1]), table[:, -1]), stats
@@ -142,7 +149,8 @@ def judge(pages: DataFrame) -> DataFrame:
     characters. Repeated urls count as often as they occur. An empty table trains nothing.
     """
     urls = parts(pages.select("page_id", "url"))
-    trees, stats = train(urls.select("url", "host", "path", labelled(urls).alias("label")))
+    urls = urls.withColumn("label", labelled(urls))
+    trees, stats = train(urls.select("url", "host", "path", "label"))
     rule, verdict = rule_of()
     scored = features(urls, stats).withColumns({"score": score(trees), "rule": rule})
     model = F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow"))
