@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     attention_lm, decontaminate, embedding_dedup, near_dedup, packing, quality_model, quality_rules, repeats, secret_scan, sharding, token_alignment, url_filter, whitening,
 )
+from .oracle import ORACLE
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,7 +29,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+    return decontaminate.digest(decontaminate.hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))).drop("spans")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +86,3 @@ QUERIES = {
         op8_url_filter, op9_quality_classifier, op10_suffix_dedup, op11_embedding_dedup, op12_token_alignment, op13_whitening, pipeline,
     )
 }
-ORACLE: dict[str, str] = {}
