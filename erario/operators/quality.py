@@ -7,6 +7,9 @@ from erario.functions.identity import row_hash
 from erario.operators.aggregate import rows, total
 from erario.schema import TOTAL_TYPE
 
+# Hashes of repeated rows that are sent to all tasks at most.
+SENT_HASHES = 100_000
+
 
 def count_where(condition, name):
     return F.count_if(condition).cast("bigint").alias(name)
@@ -80,25 +83,31 @@ def multiplicity(df: DataFrame, keys=()) -> DataFrame:
     )
 
 
-def duplicate_summary(df: DataFrame) -> DataFrame:
+def repeated_groups(df: DataFrame, row_key=None) -> DataFrame:
+    """Groups of equal rows, of two rows or more: all columns and `ocorrencias`.
+
+    A 64-bit hash finds the rows that may have an equal: its counts are what all rows are shuffled for.
+    Whole rows are grouped only where a hash occurs twice, so unlike rows of one hash are told apart.
+    Up to SENT_HASHES such hashes are sent to all tasks, after counting them; more are joined.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(*[f"`{c}`" for c in df.columns]) if row_key is None else row_key)
+    twice = hashed.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h")
+    few = twice.limit(SENT_HASHES + 1).count() <= SENT_HASHES
+    suspects = hashed.join(F.broadcast(twice) if few else twice, "_h", "left_semi")
+    return suspects.groupBy(*[f"`{c}`" for c in df.columns]).agg(rows("ocorrencias")).filter("ocorrencias > 1")
+
+
+def duplicate_summary(df: DataFrame, row_key=None) -> DataFrame:
     """Number of groups of equal rows and of rows beyond the first of each group."""
-    repeated = F.col("ocorrencias") > 1
-    return multiplicity(df).agg(
-        count_where(repeated, "grupos_identicos"),
-        F.coalesce(
-            F.sum(F.when(repeated, F.col("ocorrencias") - 1)), F.lit(0)
-        ).cast("bigint").alias("repeticoes_excedentes"),
+    return repeated_groups(df, row_key).agg(
+        rows("grupos_identicos"),
+        F.coalesce(F.sum(F.col("ocorrencias") - 1), F.lit(0)).cast("bigint").alias("repeticoes_excedentes"),
     )
 
 
-def repeated_rows_by(df: DataFrame, key: str) -> DataFrame:
+def repeated_rows_by(df: DataFrame, key: str, row_key=None) -> DataFrame:
     """Surplus equal rows per value of `key`; values without any are absent."""
-    return (
-        multiplicity(df, [key])
-        .filter("ocorrencias > 1")
-        .groupBy(key)
-        .agg(F.sum(F.col("ocorrencias") - 1).cast("bigint").alias("repeticoes"))
-    )
+    return repeated_groups(df, row_key).groupBy(f"`{key}`").agg(F.sum(F.col("ocorrencias") - 1).cast("bigint").alias("repeticoes"))
 
 
 def monthly_validation(df: DataFrame) -> DataFrame:

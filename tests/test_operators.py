@@ -157,6 +157,18 @@ def test_quality_profiles(records, bi):
     assert got == {m: n for m, n in by_month.items() if n}
 
 
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_rows_of_one_hash_are_told_apart(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality, "SENT_HASHES", sent)
+    cells = [("a", None), (None, "a"), ("a", ""), ("b", "x"), ("b", "x"), ("b", "x"), (None, None), (None, None), ("c", "c")]
+    df = spark.createDataFrame(cells, "k string, `v.w` string").repartition(3)
+    for key in (None, F.lit(7).cast("long")):
+        assert {tuple(r) for r in quality.repeated_groups(df, key).collect()} == {("b", "x", 3), (None, None, 2)}
+        assert tuple(quality.duplicate_summary(df, key).first()) == (2, 3)
+        assert {tuple(r) for r in quality.repeated_rows_by(df, "k", key).collect()} == {("b", 2), (None, 1)}
+    assert tuple(quality.duplicate_summary(df.filter("k = 'none'")).first()) == (0, 0)
+
+
 def test_comparison(bi):
     content = bi.drop("id_registro")
     copy = content.repartition(5)
