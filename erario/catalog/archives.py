@@ -12,6 +12,7 @@ from erario.catalog.base import query
 from erario.catalog.checking import FAULT, _flat, _paid_plus_cent, _profile_sql
 from erario.plans import checks
 from erario.schema import LINE_ID, MONEY_COLUMNS, MONTH_TEXT, SOURCE_COLUMNS
+from erario.scratch import Scratch
 from erario.sources import archive
 
 _PIECE = 500
@@ -30,13 +31,13 @@ def file_lines(spark, d) -> DataFrame:
     rows = X.staging(spark, d).withColumn("Nome Ação", F.expr(_planted("`Nome Ação`")))
     key, month = F.col(LINE_ID), F.col(f"`{MONTH_TEXT}`")
 
-    def cell(name):
-        text = F.col(f"`{name}`")
+    def cell(text):
         quoted = text.rlike("[;\r\n]") | ((key % 2 == 0) & ~text.startswith('ab"'))
         return F.when(quoted, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
     turned = F.substring(month, 1, 4).cast("int") % 2 == 1
-    cells = F.array(*[cell(c) for c in SOURCE_COLUMNS])
+    # one function over the cells: 47 copies of it make a method too long for the JVM to compile
+    cells = F.transform(F.array(*[F.col(f"`{c}`") for c in SOURCE_COLUMNS]), cell)
     text = F.concat(F.concat_ws(";", F.when(turned, F.reverse(cells)).otherwise(cells)), F.when(key % 5 == 0, F.lit("\r")).otherwise(""))
     name = F.concat(F.translate(month, "/", ""), F.lit("_Despesas.csv"))
     body = rows.select(name.alias("arquivo"), key.alias("_k"), F.posexplode(F.split(text, "\n")).alias("_i", "linha")).select(
@@ -52,7 +53,8 @@ def file_lines(spark, d) -> DataFrame:
 
 
 def _texts(spark, d) -> DataFrame:
-    return archive.record_texts(file_lines(spark, d))
+    """The records of all files, cut once and kept as a load keeps them: headers, cells and problems each read them."""
+    return Scratch(spark).table(archive.record_texts(file_lines(spark, d)))
 
 
 _FILE = f"""concat(replace("{MONTH_TEXT}", '/', ''), '_Despesas.csv')"""
@@ -79,7 +81,7 @@ _ORDERS = {0: "|".join(SOURCE_COLUMNS), 1: "|".join(reversed(SOURCE_COLUMNS))}
       count(DISTINCT "{MONTH_TEXT}") AS arquivos, min({_FILE}) AS exemplo FROM staging GROUP BY 1""",
 )
 def header_orders(spark, d):
-    orders = archive.header_orders(archive.headers(_texts(spark, d)))
+    orders = archive.header_orders(archive.headers(archive.record_texts(file_lines(spark, d))))
     return orders.withColumn("cabecalho", F.concat_ws("|", "cabecalho"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,52 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from erario.scratch import Scratch, shared_folder  # noqa: F401  (part of this module's interface)
+
 #: Distinct words a worker remembers before it starts anew; bounds its memory.
 CACHED_WORDS = 1_000_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only in local mode without a setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not hasattr(shared_folder, "local"):
-        shared_folder.local = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return shared_folder.local
-
-
-class Scratch:
-    """Tables of one run under the shared folder; `finish` stores the result and drops the others."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.folder = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def table(self, df: DataFrame) -> DataFrame:
-        """`df` written and read again: cuts the lineage, survives lost executors."""
-        self.count += 1
-        path = f"{self.folder}/{self.count}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def finish(self, df: DataFrame) -> DataFrame:
-        result = f"{self.folder}-result"
-        df.write.parquet(result)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        return self.spark.read.schema(df.schema).parquet(result)
-
-
 def map_batches(df: DataFrame, function: Callable, schema: str, setup: Callable | None = None, *, rows: int = 2000) -> DataFrame:
     """`function(columns, state)` on Arrow batches; columns and results are dicts of lists or arrays.
 

@@ -102,19 +102,13 @@ def lines(spark: SparkSession, paths, member: str | None = None, encoding: str =
 
 # --- records ------------------------------------------------------------------------
 
-def _quotes(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
-
-
 def open_after(line: Column, start: bool, delimiter: str = DELIMITER) -> Column:
     """Whether the end of a line is inside quotes, if its start is or is not. A quote opens only at the start of a field."""
-
-    def step(inside, field):
-        odd = _quotes(field) % 2 == 1
-        return F.when(inside, ~odd).otherwise(field.startswith('"') & odd)
-
-    folded = F.aggregate(F.split(line, f"[{delimiter}]"), F.lit(start), step)
-    return F.when(line.contains('"'), folded).otherwise(F.lit(start))
+    d = f"\\{delimiter}" if delimiter in "|\\" else delimiter
+    # fields up to the end, none left open; a line that starts inside quotes is one whose opening quote is put back
+    field = f'(?:"[^"]*+"(?:[^"{d}]++|"[^"]*+")*+|[^"{d}][^{d}]*+|)'
+    whole = F.concat(F.lit('"'), line) if start else line
+    return F.when(line.contains('"'), ~whole.rlike(f"\\A{field}(?:{d}{field})*+\\z")).otherwise(F.lit(start))
 
 
 def _states(df: DataFrame, keys: list[str], order: list[str], closed: str, opened: str) -> DataFrame:
@@ -255,10 +249,10 @@ def records(texts: DataFrame) -> DataFrame:
         F.size("_c") != len(SOURCE_COLUMNS), F.concat(F.lit(f"esperadas {len(SOURCE_COLUMNS)} colunas, há "), F.size("_c").cast("string"))
     )
     body = body.join(placed, F.col("arquivo") == F.col("_a")).withColumn("_p", F.coalesce("problema", width))
-    good = F.col("_p").isNull()
+    blank = F.array(*[F.lit("") for _ in SOURCE_COLUMNS])
+    body = body.withColumn("_v", F.when(F.col("_p").isNull(), F.transform("_posicoes", lambda p: F.get("_c", p))).otherwise(blank))
     of = body.select(
-        "arquivo", "membro",
-        *[F.when(good, F.get("_c", F.get("_posicoes", F.lit(i)))).otherwise("").alias(c) for i, c in enumerate(SOURCE_COLUMNS)],
+        "arquivo", "membro", *[F.get("_v", F.lit(i)).alias(c) for i, c in enumerate(SOURCE_COLUMNS)],
         F.col("registro").alias(LINE_ID), F.col("_p").alias("problema"),
     )
     whole = file_problems(texts).select(
