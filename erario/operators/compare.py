@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from erario.functions.identity import row_hash
 from erario.operators.aggregate import rows, total
 from erario.operators.quality import multiplicity
+from erario.scratch import Scratch
 
 # A SHA-256 hex digest is cut into limbs of at most 15 digits (60 bits): each fits a BIGINT.
 LIMB = 15
@@ -146,23 +147,16 @@ def _nodes(df: DataFrame, month: str, node: Column) -> DataFrame:
 
 
 def located_difference(left: DataFrame, right: DataFrame, measures, month: str = "periodo", key: str = "id_registro") -> Located:
-    """The rows in which two tables differ, found through a tree of digests: month, range of ids, row.
+    """The rows in which two tables differ, found through digests of month and range of ids.
 
-    Each level reads only what differed on the one above, and what is shuffled are sums of digests; rows
-    are compared with each other only inside ranges that differ. Equal tables are read once.
+    Every row is hashed once, and what is shuffled are sums of digests; the ranges that differ are kept,
+    and rows are compared with each other only inside them. Profiles of the months that hold such a range
+    are read when asked for. Equal tables are read once.
     Rows without a key are a range of their own.
     """
     schemas = schema_difference(left, right)
     if schemas:
         raise ValueError(f"esquemas diferentes: {schemas}")
-    found = profile_difference(logical_profile(left, measures, month), logical_profile(right, measures, month), month)
-    named = [r[0] for r in found.select(month).limit(NAMED_MONTHS + 1).collect()]
-    inside = F.lit(True)
-    if len(named) <= NAMED_MONTHS:  # a filter on constants, which prunes a table partitioned by month
-        inside = F.col(month).isin(*[m for m in named if m is not None]) if any(m is not None for m in named) else F.lit(False)
-        if None in named:
-            inside = inside | F.col(month).isNull()
-    left, right = left.filter(inside), right.filter(inside)
     node = F.floor(F.col(key) / NODE_IDS)
     values = F.struct("registros", *[f"limbo{i}" for i in range(LIMBS)])
     a = _nodes(left, month, node).select(month, "_no", values.alias("_a"))
@@ -171,6 +165,15 @@ def located_difference(left: DataFrame, right: DataFrame, measures, month: str =
     nodes = a.join(b, same, "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(
         F.coalesce(month, "_m").alias("_m"), F.coalesce("_no", "_n").alias("_n")
     )
+    nodes = Scratch(left.sparkSession).table(nodes)  # both tables are hashed for these, and only once
+    named = [r[0] for r in nodes.select("_m").distinct().limit(NAMED_MONTHS + 1).collect()]
+    inside = F.lit(True)
+    if len(named) <= NAMED_MONTHS:  # a filter on constants, which prunes a table partitioned by month
+        inside = F.col(month).isin(*[m for m in named if m is not None]) if any(m is not None for m in named) else F.lit(False)
+        if None in named:
+            inside = inside | F.col(month).isNull()
+    left, right = left.filter(inside), right.filter(inside)
+    found = profile_difference(logical_profile(left, measures, month), logical_profile(right, measures, month), month)
     few = nodes.limit(SENT_NODES + 1).count() <= SENT_NODES
     chosen = F.broadcast(nodes) if few else nodes
     there = lambda df: df.join(chosen, df[month].eqNullSafe(F.col("_m")) & node.eqNullSafe(F.col("_n")), "left_semi")

@@ -1,10 +1,12 @@
 import itertools
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from erario import fixtures
 from erario.catalog import archives
+from erario.operators import compare
 from erario.sources import archive
 
 
@@ -61,3 +63,17 @@ def test_quotes_left_open_at_the_end_of_a_line(spark):
     piped = [(t.replace(";", "|"),) for t in texts]
     bars = spark.createDataFrame(piped, "t string").select("t", archive.open_after(F.col("t"), False, "|").alias("f")).collect()
     assert [r.t for r in bars if r.f != _folded(r.t.replace("|", ";"), False)] == []
+
+
+def test_tables_are_hashed_once_to_locate_a_difference(spark):
+    schema = "id_registro bigint, periodo string, valor_pago decimal(20,2)"
+    rows = [(i, f"2026-0{1 + i % 2}-01", Decimal(i)) for i in range(20)] + [(None, None, Decimal(7))]
+    left = spark.createDataFrame(rows, schema)
+    right = spark.createDataFrame([*rows[:3], (3, "2026-02-01", Decimal("3.01")), *rows[4:20], (None, None, Decimal(8))], schema)
+    found = compare.located_difference(left, right, ["valor_pago"])
+    assert "sha2" not in _plan(found.rows)
+    got = {(r.id_registro, str(r.valor_pago), r.esquerda, r.direita) for r in found.rows.collect()}
+    assert got == {(3, "3.00", 1, 0), (3, "3.01", 0, 1), (None, "7.00", 1, 0), (None, "8.00", 0, 1)}
+    assert {r.periodo for r in found.months.collect()} == {"2026-02-01", None}
+    same = compare.located_difference(left, left, ["valor_pago"])
+    assert same.size() == 0 and same.months.count() == 0
