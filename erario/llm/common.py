@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -91,12 +92,20 @@ class WordArray:
         return mixed((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-_encodings: dict[str, object] = {}
+#: White space of the tokenizers' pattern; the place in a run of it where the pattern's lookahead cuts.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(f"[{_WHITE}](?=[{_WHITE}][^{_WHITE}])")
+_LOOKAHEAD = r"|\s+(?!\S)"
 
 
-def rank_encoding(path: str):
-    """The tokenizer of a rank file, once per worker."""
-    if path not in _encodings:
+class RankEncoding:
+    """The tokenizer of a rank file.
+
+    The lookahead of the tokenizers' pattern leaves the last character of a run of white space to the word
+    behind it. It takes a slow regex engine, so texts are cut there first and the pattern goes without it.
+    """
+
+    def __init__(self, path: str):
         import base64
 
         import tiktoken
@@ -104,7 +113,26 @@ def rank_encoding(path: str):
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.cut = _LOOKAHEAD in PATTERN
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN.replace(_LOOKAHEAD, ""), mergeable_ranks=ranks, special_tokens={})
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        out, at = [], 0
+        if self.cut:
+            for m in _CUT.finditer(text):
+                out += self.encoding.encode_ordinary(text[at : m.end()])
+                at = m.end()
+        rest = self.encoding.encode_ordinary(text[at:] if at else text)
+        return out + rest if out else rest
+
+
+_encodings: dict[str, RankEncoding] = {}
+
+
+def rank_encoding(path: str) -> RankEncoding:
+    """The tokenizer of a rank file, once per worker."""
+    if path not in _encodings:
+        _encodings[path] = RankEncoding(path)
     return _encodings[path]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import cached_property
 
 import numpy as np
@@ -47,12 +48,24 @@ class Tokens:
 
         return Tokenizer.from_file(self.path)
 
+    @cached_property
+    def _listed(self) -> tuple[list[str], int]:
+        """The added tokens and the largest id of the tokenizer file."""
+        with open(self.path, encoding="utf-8") as file:
+            listed = json.load(file)
+        added, vocabulary = listed.get("added_tokens", []), listed["model"]["vocab"]
+        largest = max(vocabulary.values(), default=0) if isinstance(vocabulary, dict) else len(vocabulary)
+        return [t["content"] for t in added], max([largest, *(t["id"] for t in added)])
+
     @cached_property
     def added(self) -> re.Pattern:
         """The added tokens of the tokenizer file, which have ids of their own where a text spells them out."""
-        with open(self.path, encoding="utf-8") as file:
-            found = [t["content"] for t in json.load(file).get("added_tokens", [])]
-        return re.compile("|".join(map(re.escape, found)) or "(?!)")
+        return re.compile("|".join(map(re.escape, self._listed[0])) or "(?!)")
+
+    @property
+    def kind(self) -> str:
+        """The smallest type that holds every id."""
+        return "<u2" if self._listed[1] < 1 << 16 else "<u4"
 
     @staticmethod
     def at(path: str, ranks: str | None = None) -> Tokens:
@@ -60,14 +73,22 @@ class Tokens:
             _tokenizers[path, ranks] = Tokens(path, ranks)
         return _tokenizers[path, ranks]
 
-    def ids(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids, then END."""
+    def ids(self, text: str | None, kind: str = "<u4") -> bytes:
+        """Little-endian unsigned ids, then END; 32-bit if no `kind` is given."""
         text = text or ""
         if self.ranks and len(text) <= PLAIN_LENGTH and _PLAIN.fullmatch(text) and not self.added.search(text):
             found = self.ranks.encode_ordinary(text)
         else:
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array([*found, END], "<u4").tobytes()
+        found.append(END)
+        return np.array(array("I", found), kind).tobytes()
+
+
+def _terms(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document, ascending, and their counts; a stable sort takes the digits of 16-bit ids."""
+    ids = np.sort(doc, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return ids[first], np.diff(first, append=len(ids))
 
 
 class Statistics:
@@ -76,24 +97,38 @@ class Statistics:
     def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
         self.n, self.mean, self.terms, self.df = n, mean, terms, df
 
-    def idf(self, terms: np.ndarray) -> np.ndarray:
-        df = self.df[np.searchsorted(self.terms, terms)]
-        return np.log(1 + (self.n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    @cached_property
+    def _by_id(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of each id, and whether two documents have it; ids end with the vocabulary."""
+        idf = np.zeros(int(self.terms.max(initial=0)) + 1, np.float32)
+        idf[self.terms] = np.log(1 + (self.n - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
+        shared = np.zeros(len(idf), bool)
+        shared[self.terms] = self.df >= 2
+        return idf, shared
 
-    def keys(self, doc: np.ndarray) -> list[int]:
-        """The terms of highest weight that another document has too, best first."""
-        terms, tf = np.unique(doc, return_counts=True)
-        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(doc) / self.mean)) * self.idf(terms)
-        weight[self.df[np.searchsorted(self.terms, terms)] < 2] = -1
-        best = np.argsort(-weight, kind="stable")[:KEYS]
-        return terms[best[weight[best] > 0]].tolist()
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        return self._by_id[0][terms]
+
+    def keys(self, docs: list[np.ndarray]) -> list[list[int]]:
+        """Of each document, the terms of highest weight that another document has too, best first."""
+        found = [_terms(d) for d in docs]
+        ends = np.cumsum([len(t) for t, _ in found])
+        terms, tf = (np.concatenate(x) for x in zip(*found))
+        norm = np.repeat([K1 * (1 - B + B * len(d) / self.mean) for d in docs], np.diff(ends, prepend=0))
+        weights = np.where(self._by_id[1][terms], tf * (K1 + 1) / (tf + norm) * self.idf(terms), -1)
+        out = []
+        for (own, _), weight in zip(found, np.split(weights, ends[:-1])):
+            best = np.flatnonzero(weight >= np.partition(weight, -KEYS)[-KEYS]) if len(weight) > KEYS else np.arange(len(weight))
+            best = best[np.argsort(-weight[best], kind="stable")][:KEYS]
+            out.append(own[best[weight[best] > 0]].tolist())
+        return out
 
 
 class Index:
     """BM25 over the token ids of one shard, weighted by the statistics of the whole table."""
 
     def __init__(self, docs: list[np.ndarray], whole: Statistics):
-        found = [np.unique(d, return_counts=True) for d in docs]
+        found = [_terms(d) for d in docs]
         sizes = np.array([len(t) for t, _ in found])
         self.terms = [t for t, _ in found]
         term = np.concatenate([t for t, _ in found])
@@ -106,9 +141,16 @@ class Index:
         norm = K1 * (1 - B + B * length / whole.mean)
         idf = whole.idf(self.vocabulary)
         self.doc = doc[order]
-        self.weight = (tf * (K1 + 1) / (tf + norm[doc]))[order] * np.repeat(idf, df)
+        self.weight = ((tf * (K1 + 1) / (tf + norm[doc]))[order] * np.repeat(idf, df)).astype(np.float64)
         self.n = len(docs)
 
+    def keep(self, documents: np.ndarray) -> None:
+        """Leave out the postings of the other documents, which no search has to add up any more."""
+        there = documents[self.doc]
+        before = np.concatenate(([0], np.cumsum(there)))
+        self.first, self.last = before[self.first], before[self.last]
+        self.doc, self.weight = self.doc[there], self.weight[there]
+
     def neighbours(self, seed: int) -> np.ndarray:
         """Documents that share a term with `seed`, best first."""
         at = np.searchsorted(self.vocabulary, self.terms[seed])
@@ -130,8 +172,11 @@ def fill(docs: list[np.ndarray], whole: Statistics, length: int = LENGTH) -> lis
     index = Index(docs, whole)
     unused = np.ones(len(docs), bool)
     chain, ranked, position, next_doc = [], None, 0, 0
-    filled, fresh = 0, True
-    for _ in docs:
+    filled, fresh, left = 0, True, len(docs)
+    for done in range(len(docs)):
+        if 3 * left >= 4 * (len(docs) - done) + 32:  # a quarter of what the index holds is used
+            index.keep(unused)
+            left = len(docs) - done
         pick = -1
         while ranked is not None and position < len(ranked) and pick < 0:
             if unused[ranked[position]]:
@@ -180,18 +225,22 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, length: int
 
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
 
+    scratch, kind = Scratch(docs.sparkSession), Tokens.at(tokenizer).kind
+
     def tokenize(c, tokens):
-        return {"doc_id": c["doc_id"], "row": c["row"], "ids": [tokens.ids(None if t is None else t.decode("utf-8")) for t in c["text"]]}
+        return {"doc_id": c["doc_id"], "row": c["row"], "ids": [tokens.ids(None if t is None else t.decode("utf-8"), kind) for t in c["text"]]}
 
-    ids = Scratch(docs.sparkSession).table(map_batches(numbered, tokenize, "doc_id bigint, row bigint, ids binary", lambda: Tokens.at(tokenizer, ranks)))
-    whole = statistics(ids)
+    ids = scratch.table(map_batches(numbered, tokenize, "doc_id bigint, row bigint, ids binary", lambda: Tokens.at(tokenizer, ranks)))
+    whole = statistics(ids, kind)
     shards = max(1, -(-whole.n // shard_documents))
     sent = docs.sparkSession.sparkContext.broadcast(whole)
 
     def order(c, _):
-        return {**c, "keys": [sent.value.keys(np.frombuffer(r, "<u4")) for r in c["ids"]]}
+        return {**c, "keys": sent.value.keys([np.frombuffer(r, kind) for r in c["ids"]])}
 
-    ordered = map_batches(ids, order, "doc_id bigint, row bigint, ids binary, keys array<bigint>", rows=500)
+    # written, as the ranges are found by a reading of their own
+    ordered = scratch.table(map_batches(ids, order, "doc_id bigint, row bigint, ids binary, keys array<bigint>", rows=500))
+    scratch.drop(ids)
     ordered = ordered.repartitionByRange(max(1, -(-shards // TASK_SHARDS)), "keys", "row").sortWithinPartitions("keys", "row")
     ordered = ordered.select("doc_id", "ids", F.spark_partition_id().alias("part"))
 
@@ -199,14 +248,14 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, length: int
         of, raw, cut = [], [], 0
 
         def flush(part):
-            docs = [np.frombuffer(r, "<u4") for r in raw]
+            docs = [np.frombuffer(r, kind) for r in raw]
             rows = fill(docs, sent.value, length)
             base = (part << 40) + (cut << 24)
             return pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([of[p[0]] for p in rows], pa.int64()),
                 "start": pa.array([p[1] for p in rows], pa.int64()),
                 "length": pa.array([p[2] for p in rows], pa.int64()),
-                "ids": pa.array([raw[d][4 * s : 4 * (s + n)] for d, s, n, *_ in rows], pa.binary()),
+                "ids": pa.array([docs[d][s : s + n].astype("<u4").tobytes() for d, s, n, *_ in rows], pa.binary()),
                 "doc_tokens": pa.array([len(docs[p[0]]) for p in rows], pa.int64()),
                 "sequence_id": pa.array([base + p[3] for p in rows], pa.int64()),
                 "offset": pa.array([p[4] for p in rows], pa.int64()),
@@ -226,14 +275,15 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, length: int
     return ordered.mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
-def statistics(ids: DataFrame) -> Statistics:
-    """Of all documents; the driver gets at most the vocabulary."""
+def statistics(ids: DataFrame, kind: str = "<u4") -> Statistics:
+    """Of all documents, whose ids are of type `kind`; the driver gets at most the vocabulary."""
 
     def run(c, _):
-        docs = [np.frombuffer(r, "<u4") for r in c["ids"]]
-        terms, df = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True)
+        docs = [np.frombuffer(r, kind) for r in c["ids"]]
+        df = np.bincount(np.concatenate([_terms(d)[0] for d in docs]))
+        terms = np.flatnonzero(df)
         # -1 counts the documents, -2 their ids
-        return {"term": [-1, -2, *terms.tolist()], "n": [len(docs), sum(map(len, docs)), *df.tolist()]}
+        return {"term": [-1, -2, *terms.tolist()], "n": [len(docs), sum(map(len, docs)), *df[terms].tolist()]}
 
     found = dict(map_batches(ids.select("ids"), run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect())
     n, total = found.pop(-1, 0), found.pop(-2, 0)
