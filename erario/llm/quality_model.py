@@ -114,8 +114,7 @@ class Hashed(dict):
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.05) -> np.ndarray:
-    """Weights of a logistic regression on soft labels (Adam, small L2); the last is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    """Weights of a logistic regression on soft labels (Adam, small L2); the last column of `x` is 1, so the last weight is the bias."""
     y = y.astype(np.float32)
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     for t in range(1, rounds + 1):
@@ -133,7 +132,8 @@ def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS) -> tuple[dict[str, floa
     """Posterior of each vote pattern, from all documents, and the scorer's weights.
 
     The scorer is fitted on at most `documents` texts, those of the smallest hashes; the bound keeps
-    its training matrix below 50 MB. Repeated texts count as often as they occur in EM.
+    its training matrix below 50 MB. The driver gets the features that occur in a text, and fills the
+    one matrix from them. Repeated texts count as often as they occur in EM.
     """
     seen = map_batches(docs.select("text"), _voted, "pattern string").groupBy("pattern").count().orderBy("pattern").collect()
     if not seen:
@@ -143,13 +143,18 @@ def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS) -> tuple[dict[str, floa
     posterior = {r["pattern"]: float(p) for r, p in zip(seen, post)}
 
     def vectors(c, state):
-        return {"pattern": _voted(c, None)["pattern"], "vector": [state.vector(t).tobytes() for t in c["text"]]}
+        found = [state.vector(t) for t in c["text"]]
+        at = [np.flatnonzero(v).astype("<u2") for v in found]
+        return {"pattern": _voted(c, None)["pattern"], "at": [a.tobytes() for a in at], "share": [v[a].tobytes() for v, a in zip(found, at)]}
 
     key = F.xxhash64("doc_id", "text")
     last = docs.select(key.alias("key")).orderBy("key").limit(documents).agg(F.max("key")).first()[0]
     sample = docs.filter(key <= last).select("text").limit(documents)
-    rows = map_batches(sample, vectors, "pattern string, vector binary", Hashed).collect()
-    x = np.stack([np.frombuffer(r["vector"], np.float32) for r in rows])
+    rows = map_batches(sample, vectors, "pattern string, at binary, share binary", Hashed).collect()
+    x = np.zeros((len(rows), FEATURES + 2), np.float32)
+    x[:, -1] = 1
+    for of, r in zip(x, rows):
+        of[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["share"], np.float32)
     return posterior, fit_linear(x, np.array([posterior[r["pattern"]] for r in rows]))
 
 
