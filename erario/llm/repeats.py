@@ -209,6 +209,7 @@ def remove(docs: DataFrame) -> DataFrame:
     if mixed_.filter(F.col("n") > CONTEXTS).limit(1).count():
         found = found.union(string_ranges(contexts(open_.filter(F.col("n") > CONTEXTS))))
     ranges = scratch.table(found.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")))
+    scratch.drop(shared, heads)  # the texts are shuffled next, and nothing needs the anchors any more
 
     def cut(batches):
         for batch in batches:
