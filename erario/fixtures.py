@@ -176,8 +176,9 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part")
     return (
-        lines.join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        # parts first: the lines are still narrow when they are shuffled for the orders' many texts
+        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
         .selectExpr(*[f"{expr} AS {name}" for name, expr in FACT.items()])
     )
 

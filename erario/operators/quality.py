@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from erario.functions.identity import row_hash
 from erario.operators.aggregate import rows, total
 from erario.schema import TOTAL_TYPE
+from erario.scratch import Scratch
 
 # Hashes of repeated rows that are sent to all tasks at most.
 SENT_HASHES = 100_000
@@ -88,10 +89,11 @@ def repeated_groups(df: DataFrame, row_key=None) -> DataFrame:
 
     A 64-bit hash finds the rows that may have an equal: its counts are what all rows are shuffled for.
     Whole rows are grouped only where a hash occurs twice, so unlike rows of one hash are told apart.
-    Up to SENT_HASHES such hashes are sent to all tasks, after counting them; more are joined.
+    These hashes are stored, so the table is read once for them and once for its rows. Up to SENT_HASHES
+    of them are sent to all tasks, after counting them; more are joined.
     """
     hashed = df.withColumn("_h", F.xxhash64(*[f"`{c}`" for c in df.columns]) if row_key is None else row_key)
-    twice = hashed.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h")
+    twice = Scratch(df.sparkSession).table(hashed.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h"))
     few = twice.limit(SENT_HASHES + 1).count() <= SENT_HASHES
     suspects = hashed.join(F.broadcast(twice) if few else twice, "_h", "left_semi")
     return suspects.groupBy(*[f"`{c}`" for c in df.columns]).agg(rows("ocorrencias")).filter("ocorrencias > 1")
