@@ -14,6 +14,7 @@ from erario.functions.months import format_month
 from erario.operators import compare, quality
 from erario.operators.aggregate import grouped_totals, rows, total
 from erario.plans import checks, model
+from erario.scratch import Scratch
 from erario.sources.months import month_range
 from erario.schema import BI_COLUMNS, BI_MEASURES, LINE_ID, MONEY_COLUMNS, SOURCE_COLUMNS
 
@@ -393,7 +394,10 @@ _ALL_CHECKS = [
     " UNION ALL ".join(f"SELECT '{c}' AS verificacao, CAST(0 AS BIGINT) AS violacoes" for c in _ALL_CHECKS),
 )
 def all_checks(spark, d):
-    staging, typed = X.staging(spark, d), X.despesas(spark, d)
+    # stored as a load stores them, so the checks read tables and do not join and type the rows each anew
+    scratch = Scratch(spark)
+    staging = scratch.table(X.staging(spark, d))
+    typed = scratch.table(model.typed(staging))
     bi = model.bi_projection(typed)
     views = model.aggregate_views(bi)
     ledger = staging.groupBy(F.col("`Ano e mês do lançamento`").alias("periodo")).agg(rows("registros"))
