@@ -158,20 +158,35 @@ def runs_hash(values: np.ndarray, length: int) -> np.ndarray:
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """`node, label`: the smallest node reachable over the undirected edges `a, b`.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so the
-    distance covered doubles; ends when a round changes nothing. Nothing is collected but a count.
+    Each round takes the smallest neighbour of every node and then that one's own, once more in each
+    round, so the distance covered grows; then the edges are drawn between these and those inside one
+    are dropped, so that an edge is joined again only as long as its ends are apart. Ends when no edge
+    is left. Nothing is collected but a count.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.table(both)
-    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = scratch.table(step.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")))
-        changed = step.filter("old <> label").limit(1).count()
-        scratch.drop(labels)
-        labels = step.select("node", "label")
-        labels.scratch_path = step.scratch_path
-        if not changed:
-            return labels
+    found = None
+    left = scratch.table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds = 0
+    while found is None or left.limit(1).count():
+        rounds += 1
+        both = left.select(F.col("a").alias("node"), "b").union(left.select(F.col("b").alias("node"), F.col("a").alias("b")))
+        labels = scratch.table(both.groupBy("node").agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
+        for _ in range(rounds):
+            jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            step = scratch.table(labels.join(jump, "label").select("node", F.col("label").alias("old"), F.col("far").alias("label")))
+            scratch.drop(labels)
+            labels = step
+            if not step.filter("old <> label").limit(1).count():
+                break
+        to = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"to_{name}"))
+        ends = left.join(to("a"), "a").join(to("b"), "b").filter("to_a <> to_b")
+        ends = scratch.table(ends.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        scratch.drop(left)
+        left = ends
+        if found is None:
+            found = labels
+            continue
+        moved = found.join(labels.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left")
+        moved = scratch.table(moved.select("node", F.coalesce("last", "label").alias("label")))
+        scratch.drop(found, labels)
+        found = moved
+    return found.select("node", "label")

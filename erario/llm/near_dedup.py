@@ -263,7 +263,9 @@ def groups(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None, r
     labels = components(own, links)
 
     more = _missed(own, members, labels, classes, sets, percent)
-    named = labels if more is None or not more.limit(1).count() else components(own, links.union(more))
+    # a link to the least class of each component stands for the links that made it
+    joined = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    named = labels if more is None or not more.limit(1).count() else components(own, joined.union(more))
 
     least = classes.select("class", "least").join(named.select(F.col("node").alias("class"), "label"), "class", "left")
     least = least.select("class", F.coalesce("label", "class").alias("label"), "least")
