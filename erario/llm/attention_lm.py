@@ -27,7 +27,16 @@ SHAPES = {
     "E": (BUCKETS, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "Wr": (WIDTH, WIDTH),
     "M": (BLOCK, 2 * BLOCK), "c": (WIDTH,), "Wo": (WIDTH, CLASSES), "bo": (CLASSES,),
 }
-_CAUSAL = np.where(np.arange(2 * BLOCK)[None] <= np.arange(BLOCK)[:, None] + BLOCK, 0, -1e9).astype(np.float32)
+#: Where each array begins and ends in `flat` weights.
+_ENDS = np.cumsum([0, *(int(np.prod(s)) for s in SHAPES.values())]).tolist()
+#: Blocks worked on at a time; their arrays fit a core's cache.
+PART = 128
+#: Exponents below this in size need no maximum taken off.
+TAME = 60
+#: Columns of a token's projections: query, rest, key, value; behind the value stands a 1, which sums weights.
+_Q, _R, _K, _V = (slice(i * WIDTH, (i + 1) * WIDTH) for i in range(4))
+_KV, _V1 = slice(2 * WIDTH, 4 * WIDTH), slice(3 * WIDTH, 4 * WIDTH + 1)
+_SEEN = np.arange(2 * BLOCK)[None] <= np.arange(BLOCK)[:, None] + BLOCK
 
 
 def start_weights(seed: int = 5) -> dict[str, np.ndarray]:
@@ -40,8 +49,7 @@ def flat(w: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def shaped(x: np.ndarray) -> dict[str, np.ndarray]:
-    ends = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])
-    return {k: p.reshape(s) for (k, s), p in zip(SHAPES.items(), np.split(x, ends[:-1]))}
+    return {k: x[a:b].reshape(s) for (k, s), a, b in zip(SHAPES.items(), _ENDS, _ENDS[1:])}
 
 
 class Classes:
@@ -61,65 +69,155 @@ class Classes:
 
 def blocks_of(texts: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, ...]:
     """Inputs, targets, ids (each blocks x BLOCK, targets -1 beyond a text's end), first-block flags, text of each block."""
-    counts = np.array([-(-len(t) // BLOCK) for t in texts], np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    counts = -(-sizes // BLOCK)
     total = int(counts.sum())
     ids, targets, inputs = np.zeros(total * BLOCK, np.int64), np.full(total * BLOCK, -1), np.zeros(total * BLOCK, np.int64)
-    first, at = np.zeros(total, bool), 0
-    for t, n in zip(texts, counts):
-        if n:
-            ids[at : at + len(t)] = t
-            targets[at : at + len(t)] = classes.of[t]
-            inputs[at + 1 : at + len(t)] = classes.bucket[t[:-1]]
-            first[at // BLOCK] = True
-            at += int(n) * BLOCK
+    first = np.zeros(total, bool)
+    if total:
+        every = np.concatenate(texts)
+        starts = np.cumsum(counts) - counts
+        at = np.arange(len(every)) + np.repeat(starts * BLOCK - (np.cumsum(sizes) - sizes), sizes)
+        ids[at], targets[at] = every, classes.of[every]
+        follows = at[1:] == at[:-1] + 1
+        follows[np.cumsum(sizes[sizes > 0])[:-1] - 1] = False
+        inputs[at[1:][follows]] = classes.bucket[every[:-1][follows]]
+        first[starts[sizes > 0]] = True
     shape = (-1, BLOCK)
     return inputs.reshape(shape), targets.reshape(shape), ids.reshape(shape), first, np.repeat(np.arange(len(texts)), counts)
 
 
-def forward(w: dict[str, np.ndarray], inputs: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Log-probabilities of the classes (blocks x BLOCK x CLASSES) and what the gradient needs."""
-    u, past = w["E"][inputs], w["E"][before]
-    both = np.concatenate([past, u], 1)
-    q, k, v = u @ w["Wq"], both @ w["Wk"], both @ w["Wv"]
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    s += w["M"] + _CAUSAL
-    s[first, :, :BLOCK] = -1e9
-    s -= s.max(2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
-    h = np.tanh(u @ w["Wr"] + s @ v + w["c"])
-    z = h.reshape(-1, WIDTH) @ w["Wo"] + w["bo"]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z.reshape(*inputs.shape, CLASSES), (u, both, q, k, v, s, h)
+def _pairs(rows: np.ndarray) -> np.ndarray:
+    """Each block's rows behind those of the block before, as views."""
+    a, b, c = rows.strides
+    return np.lib.stride_tricks.as_strided(rows, (len(rows) - 1, 2 * BLOCK, rows.shape[2]), (a, b, c))
+
+
+class Attention:
+    """Class chances of up to PART blocks in a row, in arrays that are kept.
+
+    Arrays made anew for every batch cost more, in memory mapped and cleared, than the arithmetic on them.
+    Tokens are projected by bucket, and blocks that follow each other share their keys and values.
+    """
+
+    def __init__(self, dtype: type = np.float32):
+        def room(*shape):
+            return np.empty(shape, dtype)
+
+        self.table, self.ones = np.ones((BUCKETS, 4 * WIDTH + 1), dtype), np.ones(PART * BLOCK, dtype)
+        self.p = room(PART + 1, BLOCK, 4 * WIDTH + 1)
+        self.k, self.v = _pairs(self.p[..., _K]), _pairs(self.p[..., _V1])
+        self.s, self.sums = room(PART, BLOCK, 2 * BLOCK), room(PART, BLOCK, WIDTH + 1)
+        self.o, self.h, self.z = room(PART, BLOCK, WIDTH), room(PART, BLOCK, WIDTH), room(PART * BLOCK, CLASSES)
+
+    def load(self, w: dict[str, np.ndarray]) -> Attention:
+        self.w = w
+        self.projection = np.hstack([w["Wq"] * w["Wq"].dtype.type(WIDTH**-0.5), w["Wr"], w["Wk"], w["Wv"]])
+        np.matmul(w["E"], self.projection, out=self.table[:, : 4 * WIDTH])
+        self.table[:, _R] += w["c"]
+        longest = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
+        self.tame = longest(self.table[:, _Q]) * longest(self.table[:, _K]) + float(np.abs(w["M"]).max()) < TAME
+        self.tame_out = float((np.abs(w["Wo"]).sum(0) + np.abs(w["bo"])).max()) < TAME
+        self.gate = np.where(_SEEN, np.exp(w["M"]), 0).astype(w["M"].dtype) if self.tame else None
+        return self
+
+    def chances(self, chain: np.ndarray, first: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Classes' chances (rows x CLASSES) up to a factor, their sums, the picked ones' cells and log-probabilities.
+
+        `chain` has the block before the first one and the blocks.
+        """
+        m = len(first)
+        p, s, sums, o, h, z = self.p[: m + 1], self.s[:m], self.sums[:m], self.o[:m], self.h[:m], self.z[: m * BLOCK]
+        np.take(self.table, chain, 0, out=p, mode="clip")
+        np.matmul(p[1:, :, _Q], self.k[:m].transpose(0, 2, 1), out=s)
+        if self.tame:
+            np.exp(s, out=s)
+            s *= self.gate
+            s[first, :, :BLOCK] = 0
+        else:
+            s += self.w["M"]
+            s[:, ~_SEEN] = -np.inf
+            s[first, :, :BLOCK] = -np.inf
+            s -= s.max(2, keepdims=True)
+            np.exp(s, out=s)
+        np.matmul(s, self.v[:m], out=sums)
+        np.divide(sums[..., :WIDTH], sums[..., WIDTH:], out=o)
+        np.add(o, p[1:, :, _R], out=h)
+        np.tanh(h, out=h)
+        np.matmul(h.reshape(-1, WIDTH), self.w["Wo"], out=z)
+        z += self.w["bo"]
+        if not self.tame_out:
+            z -= z.max(1, keepdims=True)
+        cells = np.arange(0, z.size, CLASSES) + picks
+        logs = z.reshape(-1)[cells]
+        np.exp(z, out=z)
+        total = z @ self.ones[:CLASSES]
+        logs -= np.log(total)
+        return z, total, cells, logs
+
+
+class Gradient(Attention):
+    """The way back through `chances`, for batches of up to `batch` blocks."""
+
+    def __init__(self, batch: int, dtype: type = np.float32):
+        super().__init__(dtype)
+
+        def room(*shape):
+            return np.empty(shape, dtype)
+
+        self.dh, self.back, self.ds = room(PART * BLOCK, WIDTH), room(PART, BLOCK, WIDTH + 1), room(PART, BLOCK, 2 * BLOCK)
+        self.dkv, self.d = room(PART, 2 * BLOCK, 2 * WIDTH), room(batch + 1, BLOCK, 4 * WIDTH)
+        self.u, self.du = room((batch + 1) * BLOCK, WIDTH), room(WIDTH, (batch + 1) * BLOCK)
+
+    def of(self, w, inputs, before, first, targets) -> tuple[float, dict[str, np.ndarray]]:
+        self.load(w)
+        dtype = w["E"].dtype
+        valid = targets.ravel() >= 0
+        shares = (valid / max(int(valid.sum()), 1)).astype(dtype)
+        picks = np.maximum(targets.ravel(), 0)
+        chain = np.concatenate([before[:1], inputs])
+        g = {k: np.zeros(SHAPES[k], dtype) for k in ("M", "c", "Wo", "bo")}
+        loss, every = 0.0, self.d[: len(chain)]
+        every[:1] = 0
+        for i in range(0, len(inputs), PART):
+            part, m = slice(i * BLOCK, (i + PART) * BLOCK), len(first[i : i + PART])
+            z, total, cells, logs = self.chances(chain[i : i + m + 1], first[i : i + m], picks[part])
+            share, one = shares[part], self.ones[: m * BLOCK]
+            loss -= float(logs @ share)
+            z *= (share / total)[:, None]
+            z.reshape(-1)[cells] -= share
+            h = self.h[:m].reshape(-1, WIDTH)
+            g["Wo"] += h.T @ z
+            g["bo"] += one @ z
+            dh = np.matmul(z, w["Wo"].T, out=self.dh[: m * BLOCK])
+            h *= h
+            np.subtract(1, h, out=h)
+            dh *= h
+            g["c"] += one @ dh
+            d, back, s, ds, dkv, sums = every[i : i + m + 1], self.back[:m], self.s[:m], self.ds[:m], self.dkv[:m], self.sums[:m, :, WIDTH:]
+            d[1:, :, _R] = dh.reshape(m, BLOCK, WIDTH)
+            np.divide(d[1:, :, _R], sums, out=back[..., :WIDTH])
+            dh *= self.o[:m].reshape(-1, WIDTH)
+            back[..., WIDTH:] = (dh @ self.ones[:WIDTH]).reshape(m, BLOCK, 1) / -sums
+            np.matmul(back, self.v[:m].transpose(0, 2, 1), out=ds)
+            ds *= s
+            g["M"] += (one[:m] @ ds.reshape(m, -1)).reshape(BLOCK, -1)
+            np.matmul(ds, self.k[:m], out=d[1:, :, _Q])
+            np.matmul(ds.transpose(0, 2, 1), self.p[1 : m + 1, :, _Q], out=dkv[..., :WIDTH])
+            np.matmul(s.transpose(0, 2, 1), back[..., :WIDTH], out=dkv[..., WIDTH:])
+            d[1:, :, _KV] = dkv[:, BLOCK:]
+            d[:-1, :, _KV] += dkv[:, :BLOCK]
+        every, buckets = every.reshape(-1, 4 * WIDTH), chain.ravel()
+        both = np.take(w["E"], buckets, 0, out=self.u[: len(buckets)], mode="clip").T @ every
+        du = np.matmul(self.projection, every.T, out=self.du[:, : len(buckets)])
+        g["E"] = np.stack([np.bincount(buckets, x, BUCKETS) for x in du], 1).astype(dtype)
+        g["Wq"], g["Wr"], g["Wk"], g["Wv"] = both[:, _Q] * dtype.type(WIDTH**-0.5), both[:, _R], both[:, _K], both[:, _V]
+        return loss, g
 
 
 def gradient(w, inputs, before, first, targets) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss in nats and its gradient over the valid targets."""
-    z, (u, both, q, k, v, a, h) = forward(w, inputs, before, first)
-    valid = targets >= 0
-    n = max(int(valid.sum()), 1)
-    pick = np.maximum(targets, 0)[..., None]
-    loss = -float(np.take_along_axis(z, pick, 2)[..., 0][valid].sum()) / n
-    dz = np.exp(z)
-    np.put_along_axis(dz, pick, np.take_along_axis(dz, pick, 2) - 1, 2)
-    dz *= (valid / np.float32(n))[..., None].astype(np.float32)
-    rows = lambda x: x.reshape(-1, x.shape[-1])
-    dh = (dz @ w["Wo"].T) * (1 - h * h)
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    scale = np.float32(WIDTH**-0.5)
-    dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ dh
-    dboth = dk @ w["Wk"].T + dv @ w["Wv"].T
-    dboth[first, :BLOCK] = 0
-    du = dh @ w["Wr"].T + dq @ w["Wq"].T + dboth[:, BLOCK:]
-    cells = np.concatenate([before, inputs], 1)[..., None] * WIDTH + np.arange(WIDTH)
-    de = np.bincount(cells.ravel(), np.concatenate([dboth[:, :BLOCK], du], 1).ravel(), BUCKETS * WIDTH).reshape(SHAPES["E"]).astype(np.float32)
-    return loss, {
-        "E": de, "Wq": rows(u).T @ rows(dq), "Wk": rows(both).T @ rows(dk), "Wv": rows(both).T @ rows(dv), "Wr": rows(u).T @ rows(dh),
-        "M": ds.sum(0), "c": rows(dh).sum(0), "Wo": rows(h).T @ rows(dz), "bo": rows(dz).sum(0),
-    }
+    """Mean loss in nats and its gradient over the valid targets; `before` is as `shifted` gives it."""
+    return Gradient(len(inputs), w["E"].dtype).of(w, inputs, before, first, targets)
 
 
 class Learner:
@@ -128,11 +226,12 @@ class Learner:
     def __init__(self, weights: np.ndarray, batch: int = 256, rate: float = 0.01):
         self.w, self.batch, self.rate = weights.copy(), batch, rate
         self.m, self.v, self.t, self.blocks = np.zeros_like(weights), np.zeros_like(weights), 0, 0
+        self.gradient = Gradient(batch)
 
     def learn(self, inputs, before, first, targets) -> None:
         for i in range(0, len(inputs), self.batch):
             part = slice(i, i + self.batch)
-            _, g = gradient(shaped(self.w), inputs[part], before[part], first[part], targets[part])
+            _, g = self.gradient.of(shaped(self.w), inputs[part], before[part], first[part], targets[part])
             g = flat(g)
             self.t += 1
             self.m += 0.1 * (g - self.m)
@@ -222,38 +321,18 @@ def trained(train: DataFrame, classes: Classes) -> np.ndarray:
     return sum(np.frombuffer(g["weights"], np.float32).astype(np.float64) * (g["blocks"] / n) for g in groups).astype(np.float32)
 
 
-def log10_scores(texts: list[np.ndarray], weights: dict[str, np.ndarray], classes: Classes, chunk: int = 256) -> np.ndarray:
-    """log10 probability of each text's ids: `forward` in fewer passes, for the targets alone."""
+def log10_scores(texts: list[np.ndarray], weights: dict[str, np.ndarray], classes: Classes) -> np.ndarray:
+    """log10 probability of each text's ids."""
     inputs, targets, ids, first, of = blocks_of(texts, classes)
-    before, out = shifted(inputs), np.zeros(len(texts))
-    w = weights
-    per_bucket = {k: w["E"] @ w[k] for k in ("Wk", "Wr")} | {"Wq": w["E"] @ w["Wq"] * np.float32(WIDTH**-0.5)}
-    values = np.hstack([w["E"] @ w["Wv"], np.ones((BUCKETS, 1), np.float32)])  # the last column sums the weights
-    seen = w["M"] + _CAUSAL
-    ones = np.ones(CLASSES, np.float32)
-    for i in range(0, len(inputs), chunk):
-        part = slice(i, i + chunk)
-        x = inputs[part]
-        both = np.concatenate([before[part], x], 1)
-        s = per_bucket["Wq"][x] @ per_bucket["Wk"][both].transpose(0, 2, 1)
-        s += seen
-        s[first[part], :, :BLOCK] = -1e9
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-        a = s @ values[both]
-        h = a[..., :WIDTH] / np.maximum(a[..., WIDTH:], 1e-30)
-        h += per_bucket["Wr"][x]
-        h += w["c"]
-        np.tanh(h, out=h)
-        z = h.reshape(-1, WIDTH) @ w["Wo"]
-        z += w["bo"]
-        goal = targets[part].ravel()
-        mine = z[np.arange(len(z)), np.maximum(goal, 0)]
-        np.exp(np.minimum(z, 80, out=z), out=z)
-        p = (mine - np.log(z @ ones)) / np.log(10) + classes.share[ids[part].ravel()]
-        p[goal < 0] = 0
-        out += np.bincount(of[part], p.reshape(-1, BLOCK).sum(1), len(texts))
-    return out
+    chain, goal = np.concatenate([inputs[:1], inputs]), targets.ravel()
+    picks, p = np.maximum(goal, 0), np.empty(len(goal))
+    attention = Attention().load(weights)
+    for i in range(0, len(inputs), PART):
+        part = slice(i * BLOCK, (i + PART) * BLOCK)
+        p[part] = attention.chances(chain[i : i + PART + 1], first[i : i + PART], picks[part])[-1]
+    p = p / np.log(10) + classes.share[ids.ravel()]
+    p[goal < 0] = 0
+    return np.bincount(of, p.reshape(-1, BLOCK).sum(1), len(texts))
 
 
 def score(docs: DataFrame, tokenizer: str) -> DataFrame:
