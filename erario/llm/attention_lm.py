@@ -96,7 +96,7 @@ def _pairs(rows: np.ndarray) -> np.ndarray:
 class Attention:
     """Class chances of up to PART blocks in a row, in arrays that are kept.
 
-    Arrays made anew for every batch cost more, in memory mapped and cleared, than the arithmetic on them.
+    Arrays made anew for every batch can cost as much, in memory mapped and cleared, as the arithmetic on them.
     Tokens are projected by bucket, and blocks that follow each other share their keys and values.
     """
 
