@@ -155,14 +155,15 @@ def runs_hash(values: np.ndarray, length: int) -> np.ndarray:
     return mixed(h)
 
 
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, strategy: str | None = None) -> DataFrame:
     """`node, label`: the smallest node reachable over the undirected edges `a, b`.
 
     Each round takes the smallest neighbour of every node and then that one's own, once more in each
     round, so the distance covered grows; then the edges are drawn between these and those inside one
     are dropped, so that an edge is joined again only as long as its ends are apart. Ends when no edge
-    is left. Nothing is collected but a count.
+    is left. Nothing is collected but a count. `strategy` is a join hint; without one Spark chooses.
     """
+    hinted = lambda df: df.hint(strategy) if strategy else df
     found = None
     left = scratch.table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds = 0
@@ -172,12 +173,12 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         labels = scratch.table(both.groupBy("node").agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
         for _ in range(rounds):
             jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-            step = scratch.table(labels.join(jump, "label").select("node", F.col("label").alias("old"), F.col("far").alias("label")))
+            step = scratch.table(labels.join(hinted(jump), "label").select("node", F.col("label").alias("old"), F.col("far").alias("label")))
             scratch.drop(labels)
             labels = step
             if not step.filter("old <> label").limit(1).count():
                 break
-        to = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"to_{name}"))
+        to = lambda name: hinted(labels.select(F.col("node").alias(name), F.col("label").alias(f"to_{name}")))
         ends = left.join(to("a"), "a").join(to("b"), "b").filter("to_a <> to_b")
         ends = scratch.table(ends.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
         scratch.drop(left)
@@ -185,7 +186,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         if found is None:
             found = labels
             continue
-        moved = found.join(labels.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left")
+        moved = found.join(hinted(labels.select(F.col("node").alias("label"), F.col("label").alias("last"))), "label", "left")
         moved = scratch.table(moved.select("node", F.coalesce("last", "label").alias("label")))
         scratch.drop(found, labels)
         found = moved

@@ -111,6 +111,13 @@ def _mapped(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Sorted on both sides. Spark takes a table for as large as the files it comes from, also where each
+    of their rows becomes many, and would collect one of a row for each vector on the driver to send it.
+    A frequent key is split over tasks if both sides come from their own shuffles, so sums are stored first."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
@@ -202,10 +209,10 @@ class _Search:
         for turn in range(LEAD_ROUNDS):
             spread = _mapped(free, lambda b: _exploded(b, sets, row=_numbers(b, "row"), code=np.array(b.column("code").to_pylist(), object)), "key bigint, row bigint, code binary")
             first = spread.groupBy("key").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "code")).alias("c"), F.count("*").alias("n"))
-            first = first.filter("n > 1").select("key", F.col("c.h").alias("h"), F.col("c.row").alias("unit"), F.col("c.code").alias("ucode"))
-            pairs = spread.select("key", "row").join(first, "key").filter("row <> unit").select("row", "unit", "ucode", "h").distinct()
+            first = self.scratch.table(first.filter("n > 1").select("key", F.col("c.h").alias("h"), F.col("c.row").alias("unit"), F.col("c.code").alias("ucode")))
+            pairs = _joined(spread.select("key", "row"), first, "key").filter("row <> unit").select("row", "unit", "ucode", "h").distinct()
             raw = self.rows.select("row", "raw")
-            both = pairs.join(raw, "row").join(raw.select(F.col("row").alias("unit"), F.col("raw").alias("uraw")), "unit")
+            both = _joined(_joined(pairs, raw, "row"), raw.select(F.col("row").alias("unit"), F.col("raw").alias("uraw")), "unit")
 
             def near(batch):
                 a, b = (units_of(batch.column(c).to_pylist(), kind) for c in ("raw", "uraw"))
@@ -213,14 +220,14 @@ class _Search:
                 yield {c: batch.column(c).filter(pa.array(ok)) for c in ("row", "unit", "ucode", "h")}
 
             close = self.scratch.table(_mapped(both, near, "row bigint, unit bigint, ucode binary, h bigint"))
-            led = close.select(F.col("row").alias("unit")).distinct()
-            kept = close.join(led, "unit", "left_anti").groupBy("row").agg(F.min(F.struct("h", "unit", "ucode")).alias("c")).select("row", "c.unit", "c.ucode")
+            led = close.select(F.col("row").alias("unit"))
+            kept = _joined(close, led, "unit", "left_anti").groupBy("row").agg(F.min(F.struct("h", "unit", "ucode")).alias("c")).select("row", "c.unit", "c.ucode")
             kept = self.scratch.table(kept)
             if not kept.limit(1).count():
                 break
             found = kept if found is None else found.union(kept)
             done = kept.select("row").union(kept.select("unit")).distinct()
-            free = self.scratch.table(free.join(done, "row", "left_anti"))
+            free = self.scratch.table(_joined(free, done, "row", "left_anti"))
         if found is None:
             return self.rows.sparkSession.createDataFrame([], "row bigint, unit bigint, ucode binary")
         heads = found.select(F.col("unit").alias("row"), "unit", "ucode").dropDuplicates(["row"])
@@ -287,7 +294,7 @@ class _Search:
 
     def checked(self, pairs: DataFrame, placed: DataFrame) -> DataFrame:
         """`a, b, single`: links of single vectors, and pairs with a larger unit that their leaders allow."""
-        lead = placed.filter("row = unit").select("row", "big").join(self.rows.select("row", "raw"), "row")
+        lead = _joined(placed.filter("row = unit").select("row", "big"), self.rows.select("row", "raw"), "row")
         side = lambda x: lead.select(F.col("row").alias(x), F.col("raw").alias(f"raw_{x}"), F.col("big").cast("int").alias(f"big_{x}"))
         kind, angle, threshold = self.kind, self.angle, self.threshold
 
@@ -298,7 +305,7 @@ class _Search:
             ok = np.where(big == 0, cosine >= threshold, np.arccos(np.clip(cosine, -1, 1)) <= (1 + 0.5 * big) * angle + 1e-6)
             yield {"a": _numbers(batch, "a")[ok], "b": _numbers(batch, "b")[ok], "single": big[ok] == 0}
 
-        return self.scratch.table(_mapped(pairs.join(side("a"), "a").join(side("b"), "b"), check, "a bigint, b bigint, single boolean"))
+        return self.scratch.table(_mapped(_joined(_joined(pairs, side("a"), "a"), side("b"), "b"), check, "a bigint, b bigint, single boolean"))
 
     def counted(self, open_: DataFrame, placed: DataFrame) -> DataFrame:
         """`row, n` of vectors linked across two units, and `a, b` of units with such a link.
@@ -306,20 +313,22 @@ class _Search:
         The vectors of the smaller unit are packed by the larger one; a task multiplies a pack with a
         block of the larger unit and gives one count for each vector, never the pairs.
         """
-        sizes = placed.groupBy("unit").agg(F.count("*").alias("size"))
+        sizes = self.scratch.table(placed.groupBy("unit").agg(F.count("*").alias("size")))
         size = lambda x: sizes.select(F.col("unit").alias(x), F.col("size").alias(f"size_{x}"))
         swap = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") > F.col("b")))
-        pairs = open_.join(size("a"), "a").join(size("b"), "b").select(
+        pairs = _joined(_joined(open_, size("a"), "a"), size("b"), "b").select(
             F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("large"),
-            F.least("size_a", "size_b").alias("n"),
+            F.least("size_a", "size_b").alias("n"), F.greatest("size_a", "size_b").alias("size"),
         )
         pairs = self.scratch.table(pairs)
         packs = pairs.groupBy("large").agg(F.ceil(F.sum("n") / BLOCK).alias("packs"))
-        vectors = placed.select("row", "unit").join(self.rows.select("row", "raw"), "row")
-        asked = pairs.join(packs, "large").join(vectors.withColumnRenamed("unit", "small"), "small")
+        vectors = _joined(placed.select("row", "unit"), self.rows.select("row", "raw"), "row")
+        asked = _joined(_joined(pairs, packs, "large"), vectors.withColumnRenamed("unit", "small"), "small")
         asked = asked.groupBy("large", F.pmod(F.xxhash64("row", "small"), "packs").alias("pack")).agg(F.collect_list(F.struct("small", "row", "raw")).alias("queries"))
-        blocks = vectors.join(sizes, "unit").join(pairs.select(F.col("large").alias("unit")).distinct(), "unit", "left_semi")
-        blocks = blocks.groupBy("unit", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK)).alias("block")).agg(F.collect_list(F.struct("row", "raw")).alias("held"))
+        blocks = _joined(vectors, self.scratch.table(pairs.select(F.col("large").alias("unit"), "size").distinct()), "unit")
+        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK)))
+        # dealt by block: the joins leave a large unit in one task
+        blocks = blocks.repartition("unit", "block").groupBy("unit", "block").agg(F.collect_list(F.struct("row", "raw")).alias("held"))
         kind, threshold = self.kind, self.threshold
 
         def multiply(batch):
@@ -335,7 +344,7 @@ class _Search:
                     "a": [None] * len(rows) + units.tolist(), "b": [None] * len(rows) + [large] * len(units),
                 }
 
-        both = asked.join(blocks.withColumnRenamed("unit", "large"), "large").select("large", "queries", "held")
+        both = _joined(asked, blocks.withColumnRenamed("unit", "large"), "large").select("large", "queries", "held")
         return self.scratch.table(_mapped(both, multiply, "row bigint, n bigint, a bigint, b bigint"))
 
 
@@ -366,7 +375,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, *, vector: str = "emb
         width = WIDTH + max(0, math.ceil(math.log(total / BASE_ROWS, 4)))
     search = _Search(scratch, rows, kind, threshold, width, recall)
     led = search.leaders()
-    own = search.codes.join(led, "row", "left")
+    own = _joined(search.codes, led, "row", "left")
     placed = scratch.table(own.select("row", F.coalesce("unit", "row").alias("unit"), "code", F.coalesce("ucode", "code").alias("ucode"), F.col("unit").isNotNull().alias("big")))
     pairs = search.checked(search.candidates(placed), placed)
     found = search.counted(pairs.filter("not single").select("a", "b"), placed)
@@ -375,12 +384,12 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, *, vector: str = "emb
     counts = single.select(F.explode(F.array("a", "b")).alias("row"), F.lit(1).cast("bigint").alias("n")).union(found.filter("row is not null").select("row", "n"))
     counts = counts.groupBy("row").agg(F.sum("n").alias("outside"))
     edges = single.select("a", "b").union(found.filter("row is null").select("a", "b")).distinct()
-    labels = components(scratch, edges)
-    units = placed.select("row", "unit").join(rows.select("row", "vec_id"), "row").groupBy("unit").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
-    units = scratch.table(units.join(labels.withColumnRenamed("node", "unit"), "unit", "left").withColumn("label", F.coalesce("label", "unit")))
-    heads = units.groupBy("label").agg(F.min("least").alias("component_id"))
-    units = units.join(heads, "label").select("unit", "size", "component_id")
-    linked = placed.select("row", "unit").join(units, "unit").join(counts, "row", "left").join(rows.select("row", "vec_id"), "row")
+    labels = components(scratch, edges, "merge")
+    units = _joined(placed.select("row", "unit"), rows.select("row", "vec_id"), "row").groupBy("unit").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
+    units = scratch.table(_joined(units, labels.withColumnRenamed("node", "unit"), "unit", "left").withColumn("label", F.coalesce("label", "unit")))
+    heads = scratch.table(units.groupBy("label").agg(F.min("least").alias("component_id")))
+    units = _joined(units, heads, "label").select("unit", "size", "component_id")
+    linked = _joined(_joined(_joined(placed.select("row", "unit"), units, "unit"), counts, "row", "left"), rows.select("row", "vec_id"), "row")
     linked = linked.select(
         "vec_id", (F.col("size") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), "component_id",
         F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"),

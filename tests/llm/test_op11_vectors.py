@@ -90,6 +90,16 @@ def test_recall_of_production_parameters(spark):
     assert sum(got.values()) >= 0.97 * all_links.sum()
 
 
+def test_no_table_of_vectors_is_collected_to_be_sent(spark, made, monkeypatch):
+    plans = []
+    for name in ("table", "finish"):
+        write = getattr(embedding_dedup.Scratch, name)
+        monkeypatch.setattr(embedding_dedup.Scratch, name, lambda self, df, write=write: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(self, df))
+    found(spark.createDataFrame(made, SCHEMA), width=6, recall=0.9999)
+    assert any("SortMergeJoin" in p for p in plans)
+    assert [p for p in plans if "Broadcast" in p] == []
+
+
 def test_empty_and_useless_tables(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == []
     assert found(spark.createDataFrame([(1, None, 1, 1), (2, [0.0], 1, 1), (None, None, 1, 1)], SCHEMA)) == [(1, 0, 1, True), (2, 0, 2, True), (None, 0, None, False)]
