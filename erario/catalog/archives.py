@@ -4,13 +4,15 @@ Each month is a delimited file: quoted and unquoted records, both kinds of line
 lines, doubled quotes, and quotes inside unquoted cells. Files of odd years have their columns reversed.
 """
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from erario import fixtures as X
 from erario.catalog.base import query
 from erario.catalog.checking import FAULT, _flat, _paid_plus_cent, _profile_sql
-from erario.plans import checks
+from erario.plans import checks, model
 from erario.schema import LINE_ID, MONEY_COLUMNS, MONTH_TEXT, SOURCE_COLUMNS
 from erario.scratch import Scratch
 from erario.sources import archive
@@ -26,35 +28,42 @@ def _planted(action: str) -> str:
     )
 
 
-def file_lines(spark, d) -> DataFrame:
+def file_lines(spark, d, placed=None) -> DataFrame:
     """The physical lines of all monthly files, cut into pieces."""
-    rows = X.staging(spark, d).withColumn("Nome Ação", F.expr(_planted("`Nome Ação`")))
-    key, month = F.col(LINE_ID), F.col(f"`{MONTH_TEXT}`")
+    rows = X.staging(spark, d, placed).withColumn("Nome Ação", F.expr(_planted("`Nome Ação`")))
+    months = rows.select(F.col(f"`{MONTH_TEXT}`").alias("_m")).distinct()
+    # the lambda makes Spark compile the cells apart, as many small methods: the one method of a stage is too
+    # long for the JVM to compile, which then interprets it
+    rows = rows.select(LINE_ID, F.transform(F.array(*[F.col(f"`{c}`") for c in SOURCE_COLUMNS]), lambda c: c).alias("_c"))
+    key, month = F.col(LINE_ID), F.get("_c", F.lit(SOURCE_COLUMNS.index(MONTH_TEXT)))
 
     def cell(text):
         quoted = text.rlike("[;\r\n]") | ((key % 2 == 0) & ~text.startswith('ab"'))
         return F.when(quoted, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
-    turned = F.substring(month, 1, 4).cast("int") % 2 == 1
-    # one function over the cells: 47 copies of it make a method too long for the JVM to compile
-    cells = F.transform(F.array(*[F.col(f"`{c}`") for c in SOURCE_COLUMNS]), cell)
-    text = F.concat(F.concat_ws(";", F.when(turned, F.reverse(cells)).otherwise(cells)), F.when(key % 5 == 0, F.lit("\r")).otherwise(""))
-    name = F.concat(F.translate(month, "/", ""), F.lit("_Despesas.csv"))
-    body = rows.select(name.alias("arquivo"), key.alias("_k"), F.posexplode(F.split(text, "\n")).alias("_i", "linha")).select(
+    turned = lambda m: F.substring(m, 1, 4).cast("int") % 2 == 1
+    name = lambda m: F.concat(F.translate(m, "/", ""), F.lit("_Despesas.csv"))
+    body = rows.select(name(month).alias("arquivo"), key.alias(LINE_ID), F.when(turned(month), F.reverse("_c")).otherwise(F.col("_c")).alias("_c"))
+    body = body.withColumn("_t", F.concat_ws("", "_c"))
+    # where no cell has anything to look for, all of them are quoted or none
+    plain = ~reduce(Column.__or__, [F.col("_t").contains(x) for x in ('"', ";", "\r", "\n")])
+    alike = F.when(key % 2 == 0, F.concat(F.lit('"'), F.concat_ws('";"', "_c"), F.lit('"'))).otherwise(F.concat_ws(";", "_c"))
+    text = F.concat(F.when(plain, alike).otherwise(F.concat_ws(";", F.transform("_c", cell))), F.when(key % 5 == 0, F.lit("\r")).otherwise(""))
+    body = body.select("arquivo", key.alias("_k"), F.posexplode(F.split(text, "\n")).alias("_i", "linha")).select(
         "arquivo", F.floor(F.col("_k") / _PIECE).alias("pedaco"), (F.col("_k") * 8 + F.col("_i")).alias("ordem"), "linha"
     )
-    head = rows.select(name.alias("arquivo"), turned.alias("_t")).distinct().select(
-        "arquivo", F.lit(-1).cast("bigint").alias("pedaco"), F.lit(0).cast("bigint").alias("ordem"),
-        F.when(F.col("_t"), ";".join(reversed(SOURCE_COLUMNS))).otherwise(";".join(SOURCE_COLUMNS)).alias("linha"),
+    head = months.select(
+        name(F.col("_m")).alias("arquivo"), F.lit(-1).cast("bigint").alias("pedaco"), F.lit(0).cast("bigint").alias("ordem"),
+        F.when(turned(F.col("_m")), ";".join(reversed(SOURCE_COLUMNS))).otherwise(";".join(SOURCE_COLUMNS)).alias("linha"),
     )
     return head.union(body).select(
         "arquivo", F.col("arquivo").alias("membro"), "pedaco", "ordem", "linha", F.lit(None).cast("int").alias("membros"), F.lit(None).cast("string").alias("problema")
     )
 
 
-def _texts(spark, d) -> DataFrame:
+def _texts(spark, d, placed=None) -> DataFrame:
     """The records of all files, cut once and kept as a load keeps them: headers, cells and problems each read them."""
-    return Scratch(spark).table(archive.record_texts(file_lines(spark, d)))
+    return archive.record_texts(file_lines(spark, d, placed), scratch=Scratch(spark))
 
 
 _FILE = f"""concat(replace("{MONTH_TEXT}", '/', ''), '_Despesas.csv')"""
@@ -112,12 +121,16 @@ _HASHED = f"(SELECT sha256('199706_Despesas.csv:' || count(*)) AS sha256 FROM de
 )
 def audit_against_table(spark, d):
     """The audit of the files against a typed table whose paid values are off by a cent in one month."""
-    texts = _texts(spark, d)
+    scratch = Scratch(spark)
+    placed = scratch.table(X.placed_orders(spark, d))  # for the files and the staged rows
+    texts = _texts(spark, d, placed)
+    # kept for the ledger and the table; made and typed in one stage they are a method too long to compile
+    staged = scratch.table(X.staging(spark, d, placed).select(*[f"`{c}`" for c in [MONTH_TEXT, *MONEY_COLUMNS]]))
     month = lambda name: F.concat(F.substring(name, 1, 4), F.lit("/"), F.substring(name, 5, 2))
     mark = lambda name, n: F.sha2(F.concat(name, F.lit(":"), n.cast("string")), 256)
     audited = archive.audit(texts)
     audited = audited.select(month("arquivo").alias("periodo"), mark(F.col("arquivo"), F.col("registros")).alias("sha256"), "medida", *_R13[1:])
-    listed = X.staging(spark, d).groupBy(F.col(f"`{MONTH_TEXT}`").alias("periodo")).agg(F.count(F.lit(1)).alias("n"))
+    listed = staged.groupBy(F.col(f"`{MONTH_TEXT}`").alias("periodo")).agg(F.count(F.lit(1)).alias("n"))
     name = F.concat(F.translate("periodo", "/", ""), F.lit("_Despesas.csv"))
     ledger = listed.select("periodo", mark(name, F.col("n")).alias("sha256"))
-    return _flat(checks.audit_against_table(audited, ledger, _paid_plus_cent(X.despesas(spark, d))), "periodo", "medida")
+    return _flat(checks.audit_against_table(audited, ledger, _paid_plus_cent(model.typed(staged))), "periodo", "medida")

@@ -138,6 +138,12 @@ FACT = {
 }
 
 
+_PLACED = (
+    "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority "
+    "c_custkey c_nationkey c_acctbal c_mktsegment n_nationkey n_name r_regionkey r_name"
+).split()
+
+
 def _orders(spark, sf_dir, orders=None) -> DataFrame:
     """Orders with their customer and place; Catalyst picks the join strategies."""
     t = lambda name: table(spark, sf_dir, name)
@@ -149,14 +155,19 @@ def _orders(spark, sf_dir, orders=None) -> DataFrame:
     )
 
 
-def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """47 text columns and `_linha_csv`, as a load leaves them."""
+def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with what `staging` takes from their customers and places."""
+    # a file of few bytes is read by few tasks, but its rows become long texts: deal them to all first
+    orders = table(spark, sf_dir, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _orders(spark, sf_dir, orders).select(*_PLACED)
+
+
+def staging(spark: SparkSession, sf_dir: str, placed: DataFrame | None = None) -> DataFrame:
+    """47 text columns and `_linha_csv`, as a load leaves them; of kept `placed_orders`, if given."""
     cells = dict(ORDER_TEXT)
     for name, (amount, blank) in ORDER_MONEY.items():
         cells[name] = f"CASE WHEN {blank} THEN '' ELSE {money_text_sql(amount)} END"
-    # a file of few bytes is read by few tasks, but its rows become long texts: deal them to all first
-    orders = table(spark, sf_dir, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return _orders(spark, sf_dir, orders).selectExpr(
+    return (placed or placed_orders(spark, sf_dir)).selectExpr(
         *[f"{cells[c]} AS `{c}`" for c in SOURCE_COLUMNS], f"o_orderkey AS {LINE_ID}"
     )
 

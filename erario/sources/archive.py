@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from erario.schema import LINE_ID, MONEY_COLUMNS, MONTH_TEXT, SOURCE_COLUMNS
+from erario.scratch import Scratch
 from erario.sources import stream
 from erario.sources.stream import fingerprints  # noqa: F401  (part of this module's interface)
 
@@ -129,25 +130,29 @@ def _states(df: DataFrame, keys: list[str], order: list[str], closed: str, opene
     return df.withColumns({"fechado": state(False), "aberto": state(True)}).drop("_trocas", "_fixo")
 
 
-def record_texts(line_df: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
+def record_texts(line_df: DataFrame, delimiter: str = DELIMITER, scratch: Scratch | None = None) -> DataFrame:
     """arquivo, membro, registro, texto, membros, problema: one row per record, the header with number 0.
 
     A newline, a carriage return or both end a record outside quotes. Records of several lines keep
-    their line ends inside. Rows that are no lines have number -1.
+    their line ends inside. Rows that are no lines have number -1. With a `scratch` the lines are made
+    once, their states are found without their texts, and the numbered lines are kept there.
     """
+    keep = scratch.table if scratch else lambda df: df
     file, piece = ["arquivo"], ["arquivo", "pedaco"]
-    other = line_df.filter("linha IS NULL OR problema IS NOT NULL").select(
-        "arquivo", "membro", F.lit(-1).cast("bigint").alias("registro"), F.lit(None).cast("string").alias("texto"), "membros", "problema"
-    )
+    sound = F.col("linha").isNotNull() & F.col("problema").isNull()
     # a carriage return of its own ends a line too
-    inner = F.col("linha").rlike(r"\r(?!\z)")
+    inner = sound & F.col("linha").contains("\r") & F.col("linha").rlike(r"\r(?!\z)")
     parts = F.when(inner, F.split("linha", r"(?<=\r)(?!\z)")).otherwise(F.array("linha"))
-    physical = line_df.filter("linha IS NOT NULL AND problema IS NULL").select(
-        "arquivo", "membro", "pedaco", "ordem", F.size(parts).alias("_partes"), F.posexplode(parts).alias("parte", "texto")
+    physical = line_df.select(
+        "arquivo", "membro", "pedaco", "ordem", "membros", "problema", sound.alias("_linha"), F.size(parts).alias("_partes"), F.posexplode(parts).alias("parte", "texto")
     )
-    maps = physical.withColumns(
+    made = keep(physical.withColumns(
         {"_de_fora": open_after(F.col("texto"), False, delimiter), "_de_dentro": open_after(F.col("texto"), True, delimiter)}
+    ))
+    other = made.filter("NOT _linha").select(
+        "arquivo", "membro", F.lit(-1).cast("bigint").alias("registro"), F.lit(None).cast("string").alias("texto"), "membros", "problema"
     )
+    maps = made.filter("_linha").drop("membros", "problema", "_linha")
     order = ["ordem", "parte"]
     known = _states(maps, piece, order, "_de_fora", "_de_dentro")
     upto = Window.partitionBy(*piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -164,14 +169,15 @@ def record_texts(line_df: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
     pieces = pieces.select(*piece, F.col("fechado").alias("_inicio"), F.coalesce(F.sum(held).over(ahead), F.lit(0)).alias("_antes"))
 
     pick = lambda opened, closed: F.when(F.col("_inicio"), F.col(opened)).otherwise(F.col(closed))
-    numbered = known.join(pieces, piece).select(
+    numbered = keep(known.join(pieces, piece).select(
         "arquivo", "membro", "pedaco", *order, "texto",
         F.when(F.col("parte") == F.col("_partes") - 1, F.lit("\n")).otherwise(F.lit("")).alias("_fim"),
         pick("aberto", "fechado").alias("_dentro"), pick("_fim_aberto", "_fim_fechado").alias("_depois"),
         (F.col("_antes") + pick("_n_aberto", "_n_fechado") - 1).alias("registro"),
-    )
+    ))
+    bare = F.when(F.col("texto").endswith("\r"), F.substring("texto", F.lit(1), F.length("texto") - 1)).otherwise(F.col("texto"))
     whole = numbered.filter("NOT _dentro AND NOT _depois").select(
-        "arquivo", "membro", "registro", F.regexp_replace("texto", r"\r\z", "").alias("texto"), F.lit(None).cast("string").alias("problema")
+        "arquivo", "membro", "registro", bare.alias("texto"), F.lit(None).cast("string").alias("problema")
     )
     # only records of several lines are put together by a shuffle; of one that is too long, the start alone
     record = ["arquivo", "membro", "registro"]
@@ -181,10 +187,10 @@ def record_texts(line_df: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
     kept = F.collect_list(F.when(F.col("_ate") <= RECORD_CHARS, F.struct(place.alias("lugar"), F.concat("texto", "_fim").alias("t"))))
     cut = cut.groupBy(*record).agg(kept.alias("linhas"), F.max("_ate").alias("_ate"), F.max_by("_depois", place).alias("_aberto"))
     joined = F.concat_ws("", F.transform(F.array_sort("linhas"), lambda x: x["t"]))
-    cut = cut.select(
+    cut = keep(cut.select(
         *record, F.regexp_replace(joined, r"(\r\n|\r|\n)\z", "").alias("texto"),
         F.when(F.col("_aberto"), F.lit("aspas não fechadas")).when(F.col("_ate") > RECORD_CHARS, F.lit("registro longo demais")).alias("problema"),
-    )
+    ))
     texts = whole.union(cut).select(*record, "texto", F.lit(None).cast("int").alias("membros"), "problema")
     return texts.union(other)
 
@@ -269,12 +275,12 @@ def with_cents(df: DataFrame, column: str) -> DataFrame:
     Shares nothing with the loader's typing: the whole part is read as groups of digits between points,
     one group of any length, or a first of one to three digits and others of three.
     """
-    digits = lambda x: (F.length(x) > 0) & (F.translate(x, "0123456789", "") == "")
+    digits = lambda x: x.rlike(r"\A[0-9]+\z")
     df = df.withColumn("_bruto", F.trim(column))
     signed = F.substring("_bruto", 1, 1).isin("+", "-")
     df = df.withColumn("_lados", F.split(F.when(signed, F.substring("_bruto", 2, 1 << 20)).otherwise(F.col("_bruto")), ","))
     df = df.withColumns(
-        {"_grupos": F.split(F.get("_lados", F.lit(0)), "[.]"), "_fracao": F.coalesce(F.get("_lados", F.lit(1)), F.lit("00"))}
+        {"_grupos": F.split(F.get("_lados", F.lit(0)), r"\."), "_fracao": F.coalesce(F.get("_lados", F.lit(1)), F.lit("00"))}
     )
     df = df.withColumns({"_inteiro": F.concat_ws("", "_grupos"), "_primeiro": F.get("_grupos", F.lit(0))})
     later = F.forall(F.slice("_grupos", 2, 1 << 20), lambda g: F.length(g) == 3)
@@ -300,7 +306,8 @@ def audit(texts: DataFrame, monthly: bool = True) -> DataFrame:
     head = headers(texts).filter("problema IS NULL")
     wanted = F.array(*map(F.lit, [MONTH_TEXT, *MONEY_COLUMNS]))
     placed = head.select(F.col("arquivo").alias("_a"), F.transform(wanted, lambda c: F.array_position("cabecalho", c).cast("int") - 1).alias("_posicoes"))
-    parsed = texts.filter("registro > 0 AND problema IS NULL").join(placed, F.col("arquivo") == F.col("_a"))
+    # a row of seven numbers for each file: sent to the records, which stay where they are
+    parsed = texts.filter("registro > 0 AND problema IS NULL").join(F.broadcast(placed), F.col("arquivo") == F.col("_a"))
     parsed = parsed.withColumn("_r", F.from_csv("texto", schema, options))
     row = F.array(*[F.col(f"_r.{n}") for n in names])
     month = F.concat(F.substring("arquivo", 1, 4), F.lit("/"), F.substring("arquivo", 5, 2))
@@ -311,12 +318,18 @@ def audit(texts: DataFrame, monthly: bool = True) -> DataFrame:
         F.lit(monthly) & (F.get("_celulas", F.lit(0)) != month), F.concat(F.lit("período alheio ao nome do arquivo: "), F.get("_celulas", F.lit(0)))
     )
     long = parsed.select("arquivo", "membro", "registro", shape.alias("_forma"), F.posexplode(F.slice("_celulas", 2, len(MONEY_COLUMNS))).alias("_i", "celula"))
-    read = with_cents(long, "celula").withColumn("medida", F.get(F.array(*map(F.lit, MONEY_COLUMNS)), F.col("_i")))
-    reason = F.coalesce("_forma", F.when(~F.col("valido"), F.concat(F.lit("valor inválido em "), "medida", F.lit(": "), "celula")))
+    read = with_cents(long, "celula")
+    measure = F.get(F.array(*map(F.lit, MONEY_COLUMNS)), F.col("_i"))
+    reason = F.coalesce("_forma", F.when(~F.col("valido"), F.concat(F.lit("valor inválido em "), measure, F.lit(": "), "celula")))
     value = F.col("centavos")
-    measured = read.groupBy("arquivo", "membro", "medida").agg(
+    # the least text would make Spark sort all cells: as a key it leaves one row for all that have none
+    problem = F.when(reason.isNotNull(), F.concat(F.lit("registro "), F.col("registro").cast("string"), F.lit(": "), reason))
+    counts = ["registros", "negativos", "vazios"]
+    measured = read.groupBy("arquivo", "membro", "_i", problem.alias("_p")).agg(
         F.count(F.lit(1)).alias("registros"), F.sum(value).alias("_soma"), F.count_if(value < 0).alias("negativos"), F.count_if(value.isNull()).alias("vazios"),
-        F.min(F.when(reason.isNotNull(), F.concat(F.lit("registro "), F.col("registro").cast("string"), F.lit(": "), reason))).alias("problema"),
+    )
+    measured = measured.groupBy("arquivo", "membro", measure.alias("medida")).agg(
+        *[F.sum(n).alias(n) for n in counts], F.sum("_soma").cast("decimal(30,0)").alias("_soma"), F.min("_p").alias("problema")
     )
     measured = measured.select("arquivo", "membro", "medida", "registros", (F.col("_soma") / 100).cast("decimal(38,2)").alias("soma"), "negativos", "vazios", "problema")
     only = F.concat(F.substring("arquivo", 1, 6), F.lit("_Despesas.csv"))

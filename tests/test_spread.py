@@ -48,6 +48,31 @@ def test_files_are_cut_into_records_once(spark, tables):
         assert found.count() == (40 if name is archives.archive_records else 12)
 
 
+def test_lines_are_made_once_and_numbered_without_their_texts(spark, tables, monkeypatch):
+    plans, write = [], archive.Scratch.table
+    monkeypatch.setattr(archive.Scratch, "table", lambda self, df: plans.append(_plan(df)) or write(self, df))
+    rows = {name: name(spark, tables).collect() for name in (archives.audit_against_table, archives.source_audit)}
+    # placed orders, lines, numbered lines, records of several lines, staged rows; then the last but two again
+    assert [("o_orderkey" in p, "Window" in p) for p in plans] == [(True, False), (True, False), (False, True), (False, True), (True, False), (True, False), (False, True), (False, True)]
+    assert len(rows[archives.source_audit]) == 12
+
+
+def test_audit_sums_cells_without_sorting_them(spark):
+    found = archive.audit(spark.createDataFrame([("f", "f", 0, ";".join(archive.SOURCE_COLUMNS), None, None)], "arquivo string, membro string, registro bigint, texto string, membros int, problema string"))
+    cells = [p for p in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "SortAggregate" in p and "centavos" in p]
+    assert cells == []
+
+
+def test_least_problem_of_a_measure_with_its_counts(spark):
+    row = dict.fromkeys(archive.SOURCE_COLUMNS, "x") | {"Ano e mês do lançamento": "2026/01"} | dict.fromkeys(archive.MONEY_COLUMNS, "1,00")
+    paid = ["1.000,5", "x", "-2,00", "", "1.00,0"]
+    texts = [";".join(row)] + [";".join((row | {"Valor Pago (R$)": p}).values()) for p in paid]
+    df = spark.createDataFrame([("202601_Despesas.csv", "m", i, t, None, None) for i, t in enumerate(texts)], "arquivo string, membro string, registro bigint, texto string, membros int, problema string")
+    got = {r.medida: (r.registros, r.soma, r.negativos, r.vazios, r.problema) for r in archive.audit(df).collect()}
+    assert got["Valor Pago (R$)"] == (5, Decimal("998.50"), 1, 3, "registro 2: valor inválido em Valor Pago (R$): x")
+    assert got["Valor Empenhado (R$)"] == (5, Decimal("5.00"), 0, 0, None) and len(got) == 6
+
+
 def _folded(line, inside):
     for field in line.split(";"):
         odd = field.count('"') % 2 == 1
